@@ -158,3 +158,29 @@ def similar_pairs(texts: DataFrame, **how) -> DataFrame:
     y = members.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"))
     linked = links.join(x, "class_a").join(y, "class_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return equal.unionByName(linked)
+
+
+def groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class_id, group_id, n_links) of every member.
+
+    A group is a connected set of linked classes, named by its smallest class_id; a class without
+    links is its own group. The smallest name spreads along links and along the names themselves
+    (pointer jumping), so that rounds grow with the logarithm of a chain's length; each round is
+    written to the shared folder.
+    """
+    both = links.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")).unionByName(links.select(F.col("class_b").alias("u"), F.col("class_a").alias("v")))
+    both = materialise(both.distinct(), "groups-links")
+    names = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("name"))
+    names = materialise(names, "groups-names")
+    while True:
+        near = both.join(names.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("name").alias("near"))
+        beyond = names.select(F.col("u").alias("name"), F.col("name").alias("beyond"))
+        step = names.join(near, "u").join(beyond, "name", "left").select("u", F.least("name", "near", F.coalesce("beyond", "name")).alias("next"), F.col("name").alias("was"))
+        step = materialise(step, "groups-names")
+        moved = step.where("next <> was").limit(1).count()
+        names = step.select("u", F.col("next").alias("name"))
+        if not moved:
+            break
+    degree = both.groupBy("u").agg(F.count("*").alias("n"))
+    named = names.join(degree, "u").select(F.col("u").alias("class_id"), "name", "n")
+    return members.join(named, "class_id", "left").select("id", "class_id", F.coalesce("name", "class_id").alias("group_id"), F.coalesce("n", F.lit(0)).alias("n_links"))

@@ -7,17 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import neardup, packing, tokens
+from corpusloom.llm import credentials, docpairs, handwritten, neardup, packing, syntax, tokens
 from corpusloom.llm.neighbours import NeighbourGraph
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of credentials in code."""
+    return credentials.find(table(spark, folder, "code_symbol", "chunk_id", "language", "content")).select("chunk_id", "start_at").distinct()
+
+
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Contents with their credentials replaced, offsets kept; rows that hold any."""
+    return credentials.redacted(table(spark, folder, "code_symbol", "chunk_id", "language", "content")).where("credentials > 0").dropDuplicates(["chunk_id"])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that were not written by hand in their project."""
+    return _not_by_hand(spark, folder).where("reason is not null").select("repo", "file").distinct()
+
+
+def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of files per repository, and why they are not hand-written (null: they are)."""
+    return _not_by_hand(spark, folder).distinct().groupBy("repo", "reason").agg(F.count("*").alias("n_files"))
+
+
+def _not_by_hand(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "source_file", "repo", "file", "text", "language")
+    return handwritten.reasons(files, table(spark, folder, "third_party_lib"), "repo", "file")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks whose texts are at least 0.7 similar."""
-    texts = table(spark, folder, "code_symbol").select(F.col("chunk_id").alias("id"), neardup.text_of().alias("text")).where("id is not null")
-    return neardup.similar_pairs(texts).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b")).distinct()
+    return neardup.similar_pairs(_chunk_texts(spark, folder)).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b")).distinct()
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk that takes part with its class of equal texts, its group of linked classes, and its class's links."""
+    return neardup.groups(*neardup.similar_classes(_chunk_texts(spark, folder))).withColumnRenamed("id", "chunk_id")
+
+
+def _chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "code_symbol").select(F.col("chunk_id").alias("id"), neardup.text_of().alias("text")).where("id is not null")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are not valid in their language."""
+    return _problems(spark, folder).where("kind is not null").select("repo", "file").distinct()
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Files, invalid files and their rate per repository and language."""
+    once = _problems(spark, folder).groupBy("repo", "file", "language").agg(F.max("kind").alias("kind"))
+    return once.groupBy("repo", "language").agg(F.count("*").alias("n_files"), F.count("kind").alias("n_invalid"), F.round(F.count("kind") / F.count("*"), 6).alias("rate"))
+
+
+def _problems(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.problems(table(spark, folder, "source_file", "repo", "file", "text", "language"), "repo", "file")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +74,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.least("id", "neighbour").alias("symbol_id_a"), F.greatest("id", "neighbour").alias("symbol_id_b")).distinct()
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions and methods that have real documentation."""
+    return docpairs.pairs(_symbols(spark, folder)).select("chunk_id").distinct()
+
+
+def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Code, signature and clean description of every documented function or method."""
+    return docpairs.pairs(_symbols(spark, folder)).dropDuplicates(["chunk_id"])
+
+
+def _symbols(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "code_symbol", "chunk_id", "symbol_type", "symbol_name", "language", "signature", "content", "docstring")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_texts(table(spark, folder, "documents", "doc_id", "text"))
@@ -38,7 +100,7 @@ def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_pack": p8_pack}
+    return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
