@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import credentials, docpairs, handwritten, neardup, packing, syntax, tokens
+from corpusloom.llm import credentials, docpairs, handwritten, neardup, packing, personal, syntax, tokens
 from corpusloom.llm.neighbours import NeighbourGraph
 from corpusloom.sources.tables import table
 
@@ -99,6 +99,16 @@ def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, table(spark, folder, "context_window"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal items in documents."""
+    return personal.find(table(spark, folder, "documents", "doc_id", "text")).distinct()
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with typed placeholders for personal items."""
+    return personal.redacted(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
