@@ -130,7 +130,7 @@ def brace_symbols(text: str, rust: bool) -> list[Symbol]:
     out: list[Symbol] = []
     inside: list[tuple[int, str, str]] = []  # end, kind, name
     for m in found:
-        at = m.start() + len(m["indent"])
+        at = m.end() - len(m.group().lstrip())  # blanked comments may come first
         while inside and inside[-1][0] <= at:
             inside.pop()
         if inside and inside[-1][1] in ("function", "method"):
@@ -153,7 +153,7 @@ def brace_symbols(text: str, rust: bool) -> list[Symbol]:
         first, last = text.count("\n", 0, at) + 1, text.count("\n", 0, max(at, end - 1)) + 1
         signature = re.sub(r"\s*=\s*$", "", text[at : body[0] if body else end].strip())
         inside.append((end, kind, name))
-        out.append((kind, shown, parent, first, last, text[m.start() : end].strip("\n"), _comment_before(lines, first - 1), signature, bool(m["export"]), bool(g.get("async") or g.get("arrow_async") or g.get("method_async")), imports, None))
+        out.append((kind, shown, parent, first, last, text[text.rfind("\n", 0, at) + 1 : end], _comment_before(lines, first - 1), signature, bool(m["export"]), bool(g.get("async") or g.get("arrow_async") or g.get("method_async")), imports, None))
     return out
 
 
