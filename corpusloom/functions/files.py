@@ -8,6 +8,7 @@ import operator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions import rules
 
@@ -59,7 +60,7 @@ def disposition(path: Column, content: Column, length: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without_bad_bytes(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 

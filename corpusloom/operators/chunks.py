@@ -20,7 +20,7 @@ def fixed_windows(df: DataFrame, text: str = "text", target: int = TARGET_LINES,
     Up to target + 10 lines make one chunk. Adds chunk_index, start_line, end_line and content in
     place of the text. Null and empty texts give one empty chunk of line 1.
     """
-    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\n$", "")
+    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\n\z", "")
     step = target - overlap
     lined = df.withColumn("__lines", F.split(body, "\n")).withColumn("__n", F.size("__lines"))
     starts = F.when(F.col("__n") <= target + SLACK, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0)), F.lit(step)), lambda b: (b == 0) | (b + overlap < F.col("__n"))))

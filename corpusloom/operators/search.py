@@ -70,7 +70,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, id_: str, vector: str, m
 def section(rank: Column, hit: dict[str, Column], distance: Column | None = None) -> Column:
     """One hit as text; missing fields are shown as Unknown, a missing distance as N/A."""
     known = lambda c: F.coalesce(hit[c], F.lit("Unknown"))
-    far = F.lit("") if distance is None else F.concat(F.lit("Distance: "), F.coalesce(F.format_string("%.6f", distance), F.lit("N/A")), F.lit("\n"))
+    far = F.lit("") if distance is None else F.concat(F.lit("Distance: "), F.when(distance.isNotNull(), F.format_string("%.6f", distance)).otherwise(F.lit("N/A")), F.lit("\n"))
     return F.concat(
         F.lit("Result "), rank.cast("string"), F.lit("\nType: "), known("symbol_type"), F.lit("\nName: "), known("symbol_name"), F.lit("\nFile: "), known("file"), F.lit("\nLanguage: "), known("language"), F.lit("\n"),
         far, F.lit("\n"), F.coalesce(hit["retrieval_text"], F.lit("")), F.lit("\n\n" + "-" * 60 + "\n"),

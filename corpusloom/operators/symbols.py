@@ -60,7 +60,7 @@ def _imported(node: ast.AST) -> list[str]:
     return []
 
 
-_SKIP = re.compile(r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|b?r(?P<h>#*)"[\s\S]*?"(?P=h)|"(?:[^"\\]|\\[\s\S])*"|`(?:[^`\\]|\\[\s\S])*`|'(?:[^'\\\n]|\\.)'|'(?:[^'\\\n]|\\.)*'(?!\w)|(?<=[=(,:?&|!])\s*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*""")
+_SKIP = re.compile(r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|b?r(?P<h>#*)"[\s\S]*?"(?P=h)|"(?:[^"\\]|\\[\s\S])*"|`(?:[^`\\]|\\[\s\S])*`|'(?:[^'\\\n]|\\.)'|'(?:[^'\\\n]|\\.)*'(?!\w)|(?:(?<=[=(,:?&|!])|(?<=\breturn))\s*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*""")
 _SCRIPT = re.compile(
     r"""^(?P<indent>[ \t]*)(?P<export>export\s+(?:default\s+)?)?(?:(?:declare|abstract)\s+)*(?:
      (?P<async>async\s+)?function\s*\*?\s*(?P<function>[\w$]+)\s*(?:<[^()]*>)?\(
