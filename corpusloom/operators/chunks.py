@@ -18,16 +18,17 @@ def fixed_windows(df: DataFrame, text: str = "text", target: int = TARGET_LINES,
     """Windows of `target` lines that overlap, over each text as one block; JVM only.
 
     Up to target + 10 lines make one chunk. Adds chunk_index, start_line, end_line and content in
-    place of the text. Null and empty texts give one empty chunk of line 1.
+    place of the text and of columns of these names. Null and empty texts give one empty chunk of
+    line 1.
     """
+    kept = [c for c in df.columns if c not in (text, "chunk_index", "start_line", "end_line", "content")]
     body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\n\z", "")
     step = target - overlap
     lined = df.withColumn("__lines", F.split(body, "\n")).withColumn("__n", F.size("__lines"))
     starts = F.when(F.col("__n") <= target + SLACK, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0)), F.lit(step)), lambda b: (b == 0) | (b + overlap < F.col("__n"))))
-    cut = lined.select(*[c for c in df.columns if c != text], "__lines", "__n", F.posexplode(starts).alias("chunk_index", "__start"))
+    cut = lined.select(*[F.col(f"`{c}`") for c in kept], "__lines", "__n", F.posexplode(starts).alias("chunk_index", "__start"))
     end = F.when(F.col("__n") <= target + SLACK, F.col("__n")).otherwise(F.least(F.col("__start") + target, F.col("__n")))
-    keep = [F.col(f"`{c}`") for c in df.columns if c != text]
-    return cut.select(*keep, "chunk_index", (F.col("__start") + 1).alias("start_line"), end.alias("end_line"), F.array_join(F.slice("__lines", F.col("__start") + 1, end - F.col("__start")), "\n").alias("content"))
+    return cut.select(*[F.col(f"`{c}`") for c in kept], "chunk_index", (F.col("__start") + 1).alias("start_line"), end.alias("end_line"), F.array_join(F.slice("__lines", F.col("__start") + 1, end - F.col("__start")), "\n").alias("content"))
 
 
 def segments(lines: list[str], markdown: bool) -> list[int]:
@@ -68,9 +69,10 @@ def chunk_text(text: str | None, markdown: bool = False, target: int = TARGET_LI
 def chunks(df: DataFrame, text: str = "text", markdown: str | None = None, target: int = TARGET_LINES, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of each text along paragraphs, or headings where column `markdown` is true.
 
-    Adds the columns of CHUNK in place of the text. Null and empty texts give one empty chunk.
+    Adds the columns of CHUNK in place of the text and of columns of these names. Null and empty texts give one empty chunk.
     """
-    keep = [c for c in df.columns if c not in (text, markdown)]
+    made = [x.split()[0] for x in CHUNK.split(", ")]
+    keep = [c for c in df.columns if c not in (text, markdown, *made)]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"), (F.col(markdown) if markdown else F.lit(False)).alias("__md"))
     schema = ", ".join([f"`{c}` {t}" for c, t in source.dtypes[: len(keep)]] + [CHUNK])
 

@@ -45,3 +45,10 @@ def test_chunks_keep_other_columns(spark):
     assert [(r.id, r.source, r.start_line, r.total_chunks) for r in rows] == [(1, "c", 1, 3), (1, "c", 46, 3), (1, "c", 91, 3), (2, "d", 1, 1)]
     assert C.chunks(df.where("false")).count() == 0
     assert C.chunks(df.withColumn("md", F.lit(True)), markdown="md").count() == 4
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "x\n", 7, "old")], "id int, text string, start_line int, content string")
+    for made in (C.chunks(df), C.fixed_windows(df)):
+        row = made.first()
+        assert row.start_line == 1 and row.content.strip() == "x" and made.columns.count("content") == 1
