@@ -93,6 +93,12 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The md5 of every document decoded from its ids."""
+    decoded = tokens.decode_ids(tokens.encode_texts(table(spark, folder, "documents", "doc_id", "text")))
+    return decoded.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces in containers of each context window's capacity."""
     sizes = tokens.count_tokens(table(spark, folder, "documents", "doc_id", "text"))
@@ -113,5 +119,17 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
 
+_SEQUENCES = """(select chunk_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as s from (select chunk_id, regexp_extract_all(lower(t), '[a-z0-9_]+') as w
+    from (select distinct chunk_id, case when regexp_matches(content, '\\S') then content else retrieval_text end as t from code_symbol)) where len(w) >= 30)"""
+_USABLE = """(select distinct symbol_id, embedding::double[] as v from indexed_dataset where len(embedding) = 384 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_max(embedding::double[]) - list_min(embedding::double[]) + abs(list_max(embedding::double[])) > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express a result at all; the others are tested on fixtures and by round trips."""
+    return {
+        "p3_found": f"""with s as materialized {_SEQUENCES}, n as (select chunk_id, count(*) as n from s group by all), both_ as (select a.chunk_id as x, b.chunk_id as y, count(*) as c from s a join s b on a.s = b.s and a.chunk_id < b.chunk_id group by all)
+            select x as chunk_id_a, y as chunk_id_b from both_ join n as p on p.chunk_id = x join n as q on q.chunk_id = y where c * 10 >= (p.n + q.n - c) * 7""",
+        "p5_found": f"""with u as materialized {_USABLE}, r as (select a.symbol_id as x, b.symbol_id as y, row_number() over (partition by a.symbol_id order by round(list_cosine_similarity(a.v, b.v), 9) desc, b.symbol_id) as k from u a, u b where a.symbol_id <> b.symbol_id)
+            select distinct least(x, y) as symbol_id_a, greatest(x, y) as symbol_id_b from r where k <= 10""",
+        "p7_roundtrip": "select doc_id, md5(coalesce(text, '')) as text_md5 from documents",
+    }
