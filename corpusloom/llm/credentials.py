@@ -259,13 +259,13 @@ def redact(content: str, found: list[Found], placeholder: str = "REDACTED") -> s
     """The text with every credential replaced; each character outside keeps its place.
 
     A replacement is as long as what it replaces: the placeholder, cut or filled up with `x`, with
-    line breaks (also escaped ones) where they were.
+    line breaks (also escaped ones) and the indentation behind them where they were.
     """
     out, pos = [], 0
     for start, end in sorted(s for f in found for s in f.spans):
         out.append(content[pos:start])
         fill = iter(placeholder)
-        out.append("".join(p if p in ("\n", "\r", "\\n") or p.isspace() else "".join(next(fill, "x") for _ in p) for p in re.findall(r"\\n|[\s\S]", content[start:end])))
+        out.append("".join(p if p[0] in "\r\n" or p == "\\n" else next(fill, "x") for p in re.findall(r"\\n|[\r\n]+[ \t]*|[\s\S]", content[start:end])))
         pos = end
     out.append(content[pos:])
     return "".join(out)

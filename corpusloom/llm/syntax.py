@@ -184,7 +184,7 @@ def _scripts(text: str, typed: bool) -> None:
                 before, last, newline = last, t, False
                 continue
             if state == OPERAND:
-                joined = last in modifiers or typed and t in _TS_INFIX or t in ("of", "from", "as", "async") or last in ("import", "from")
+                joined = last in modifiers or typed and t in _TS_INFIX or t in ("of", "from", "as", "async") or last in ("import", "from", "as")
                 if not joined and not (newline and statements) and not decorated:
                     raise _Stop("misplaced word", at)
             elif state == END and last == ")" and not newline and top.kind not in ("block", "top", "switch", "class") and not typed:
@@ -333,7 +333,10 @@ def _scripts(text: str, typed: bool) -> None:
                 top.case = False
                 before, last, newline, state = last, ":", False, START
                 continue
-            elif not (state == OPERAND and kind in ("block", "top", "switch") and before in ("", ";", "{", "}", ":")):
+            elif state == OPERAND and kind in ("block", "top", "switch") and before in ("", ";", "{", "}", ":"):
+                before, last, newline, state = last, ":", False, START  # a label
+                continue
+            else:
                 raise _Stop("misplaced operator", at)
             state = OP
             if typed and top.case:
