@@ -54,14 +54,15 @@ def first_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(items: DataFrame, windows: DataFrame, group_items: int = GROUP_ITEMS, seed: int = 11) -> DataFrame:
+def pack(items: DataFrame, windows: DataFrame, group_items: int = GROUP_ITEMS, seed: int = 11, n_items: int | None = None) -> DataFrame:
     """Places every item of `items` (doc_id, n_tokens) once per row of `windows` (window_name, capacity_tokens).
 
     An item above the capacity is cut into pieces of just that capacity and a rest; no other
     item is cut. Items of size null or 0 go, with size 0, into the first container of their
     group. Repeated rows are separate items. Windows without a name or a positive capacity take
     nothing; an empty side gives an empty result. `windows` is a list of container kinds and
-    must stay below 1,000 rows. Returns one row per piece: the container's name, the piece's
+    must stay below 1,000 rows. `n_items` is the number of items where the caller knows it, which
+    saves measuring them twice; it decides only how many groups there are. Returns one row per piece: the container's name, the piece's
     number and first token, and its size.
     """
     kinds = windows.where("window_name is not null and capacity_tokens > 0").select("window_name", "capacity_tokens").distinct().limit(1001).collect()
@@ -70,7 +71,7 @@ def pack(items: DataFrame, windows: DataFrame, group_items: int = GROUP_ITEMS, s
     items = items.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("int").alias("n_tokens"))
     if not kinds:
         return items.sparkSession.createDataFrame([], PLACED)
-    groups = max(1, math.ceil(items.count() / group_items)) if group_items else 1
+    groups = max(1, math.ceil((items.count() if n_items is None else n_items) / group_items))
     every = F.array(*[F.struct(F.lit(k.window_name).alias("window_name"), F.lit(k.capacity_tokens).cast("int").alias("capacity_tokens")) for k in sorted(kinds)])
     spread = items.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).cast("int")).select("group", F.explode(every).alias("w"), "doc_id", "n_tokens").select("group", "w.*", "doc_id", "n_tokens")
     return spread.groupBy("group", "window_name", "capacity_tokens").applyInArrow(_fill, PLACED)

@@ -101,8 +101,8 @@ def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces in containers of each context window's capacity."""
-    sizes = tokens.count_tokens(table(spark, folder, "documents", "doc_id", "text"))
-    return packing.pack(sizes, table(spark, folder, "context_window"))
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    return packing.pack(tokens.count_tokens(documents), table(spark, folder, "context_window"), n_items=documents.count())
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
