@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from corpusloom.sources.stage import materialise
 
 LABEL_BYTES = 8
+#: Equal texts up to which all their pairs are given; beyond it each is paired with the first.
+FULL_COPIES = 1_000
 _WORD = re.compile(r"[a-z0-9_]+", re.ASCII)
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x27D4EB2F165667C5)]
 KNOWN_WORDS = 1_000_000
@@ -149,15 +151,23 @@ def similar_classes(texts: DataFrame, tenths: int = 7, width: int = 3, least: in
     return members.select("id", "class_id").distinct(), links
 
 
-def similar_pairs(texts: DataFrame, **how) -> DataFrame:
-    """All pairs (id_a, id_b), id_a < id_b, of different ids whose similarity reaches the threshold."""
+def similar_pairs(texts: DataFrame, full: int = FULL_COPIES, **how) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of different ids whose similarity reaches the threshold.
+
+    All pairs come out, but for copies: a class of more than `full` equal texts is paired with its
+    first id and, through that id, with the classes linked to it, since its square says no more.
+    """
     members, links = similar_classes(texts, **how)
-    a, b = members.alias("a"), members.alias("b")
-    equal = a.join(b, F.expr("a.class_id = b.class_id and a.id < b.id")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    x = members.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"))
-    y = members.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"))
+    size = members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    sized = members.join(size, "class_id")
+    few, many = sized.where(F.col("n") <= full).where("n > 1"), sized.where(F.col("n") > full)
+    equal = few.alias("a").join(few.alias("b"), F.expr("a.class_id = b.class_id and a.id < b.id")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    to_first = many.where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+    speaking = sized.where((F.col("n") <= full) | (F.col("id") == F.col("first")))
+    x = speaking.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"))
+    y = speaking.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"))
     linked = links.join(x, "class_a").join(y, "class_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return equal.unionByName(linked)
+    return equal.unionByName(to_first).unionByName(linked)
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:

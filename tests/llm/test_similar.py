@@ -42,6 +42,13 @@ def test_pairs_equal_brute_force(spark):
     assert set(got) <= want and len(set(got)) >= 0.99 * len(want) and len(want) > 40
 
 
+def test_many_copies_are_paired_with_the_first(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"c{i:02d}", text) for i in range(12)] + [("near", text + " end"), ("far", " ".join(f"z{i}" for i in range(40)))]
+    got = {(r.id_a, r.id_b) for r in D.similar_pairs(spark.createDataFrame(rows, "id string, text string"), full=10).collect()}
+    assert got == {("c00", f"c{i:02d}") for i in range(1, 12)} | {("c00", "near")}
+
+
 def test_groups_are_components(spark):
     chain = ["x%d" % i for i in range(40)]
     texts = []
