@@ -9,3 +9,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """Table `name` of the folder, reduced to `columns` if any are given."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """df spread over all cores, if its files give fewer partitions than there are cores.
+
+    For work that costs far more than moving its rows; a table of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
