@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import credentials, docpairs, handwritten, neardup, packing, personal, syntax, tokens
 from corpusloom.llm.neighbours import NeighbourGraph
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import evenly, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Places of credentials in code."""
-    return credentials.find(table(spark, folder, "code_symbol", "chunk_id", "language", "content")).select("chunk_id", "start_at").distinct()
+    return credentials.find(evenly(table(spark, folder, "code_symbol", "chunk_id", "language", "content"))).select("chunk_id", "start_at").distinct()
 
 
 def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Contents with their credentials replaced, offsets kept; rows that hold any."""
-    return credentials.redacted(table(spark, folder, "code_symbol", "chunk_id", "language", "content")).where("credentials > 0").dropDuplicates(["chunk_id"])
+    return credentials.redacted(evenly(table(spark, folder, "code_symbol", "chunk_id", "language", "content"))).where("credentials > 0").dropDuplicates(["chunk_id"])
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _not_by_hand(spark: SparkSession, folder: str) -> DataFrame:
-    files = table(spark, folder, "source_file", "repo", "file", "text", "language")
+    files = evenly(table(spark, folder, "source_file", "repo", "file", "text", "language"))
     return handwritten.reasons(files, table(spark, folder, "third_party_lib"), "repo", "file")
 
 
@@ -50,7 +50,7 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "code_symbol").select(F.col("chunk_id").alias("id"), neardup.text_of().alias("text")).where("id is not null")
+    return evenly(table(spark, folder, "code_symbol", "chunk_id", "content", "retrieval_text")).select(F.col("chunk_id").alias("id"), neardup.text_of().alias("text")).where("id is not null")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +65,7 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _problems(spark: SparkSession, folder: str) -> DataFrame:
-    return syntax.problems(table(spark, folder, "source_file", "repo", "file", "text", "language"), "repo", "file")
+    return syntax.problems(evenly(table(spark, folder, "source_file", "repo", "file", "text", "language")), "repo", "file")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,34 +85,34 @@ def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _symbols(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "code_symbol", "chunk_id", "symbol_type", "symbol_name", "language", "signature", "content", "docstring")
+    return evenly(table(spark, folder, "code_symbol", "chunk_id", "symbol_type", "symbol_name", "language", "signature", "content", "docstring"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return tokens.encode_texts(table(spark, folder, "documents", "doc_id", "text"))
+    return tokens.encode_texts(evenly(table(spark, folder, "documents", "doc_id", "text")))
 
 
 def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """The md5 of every document decoded from its ids."""
-    decoded = tokens.decode_ids(tokens.encode_texts(table(spark, folder, "documents", "doc_id", "text")))
+    decoded = tokens.decode_ids(tokens.encode_texts(evenly(table(spark, folder, "documents", "doc_id", "text"))))
     return decoded.select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces in containers of each context window's capacity."""
     documents = table(spark, folder, "documents", "doc_id", "text")
-    return packing.pack(tokens.count_tokens(documents), table(spark, folder, "context_window"), n_items=documents.count())
+    return packing.pack(tokens.count_tokens(evenly(documents)), table(spark, folder, "context_window"), n_items=documents.count())
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Personal items in documents."""
-    return personal.find(table(spark, folder, "documents", "doc_id", "text")).distinct()
+    return personal.find(evenly(table(spark, folder, "documents", "doc_id", "text"))).distinct()
 
 
 def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with typed placeholders for personal items."""
-    return personal.redacted(table(spark, folder, "documents", "doc_id", "text"))
+    return personal.redacted(evenly(table(spark, folder, "documents", "doc_id", "text")))
 
 
 def queries() -> dict[str, Query]:
