@@ -51,7 +51,7 @@ _STANDIN = re.compile(
 _REFERENCE = re.compile(
     r"""(?ix)^(?:\$\{?.* | .*\$\{[^}]*\}.* | .*\{\{.*\}\}.* | %\(?\w+\)?[sd%]? | \{\w*\} | <%.* | \#\{.*
      |(?:vault|env|envvar|ssm|sm|kms|aws|gcp|azure|op|keyring|keychain|file|secret|secrets|secretsmanager|parameter|param|ref|config|conf|cfg|settings|k8s|doppler|infisical|pass|sops|encrypted|enc|cipher|arn)\s*[:(].*
-     |(?:process\.env|os\.environ|env\.|std::env|System\.getenv|secrets?\.|settings\.|config\.|self\.|this\.|args\.|opts?\.|options\.|var\.|local\.|data\.)[\w.\["'(].* | !(?:Ref|Sub|GetAtt|vault|env)\b.*
+     |(?-i:process\.env|os\.environ|env\.|std::env|System\.getenv|secrets?\.|settings\.|config\.|self\.|this\.|args\.|opts?\.|options\.|var\.|local\.|data\.)[\w.\["'(][\w.\[\]"'(),: -]* | !(?:Ref|Sub|GetAtt|vault|env)\b.*
      |(?:[./~]|[A-Za-z]:\\)[\w./\\\-~]*[/\\.][\w./\\\-~]*)$"""
 )
 _PUBLIC = re.compile(r"^(?:ssh-(?:rsa|dss|ed25519)|ecdsa-sha2-|sk-ssh-|-----BEGIN (?:[A-Z0-9 ]*PUBLIC KEY|CERTIFICATE)|sha(?:1|224|256|384|512)[-:]|md5[-:]|\$2[aby]\$|\$argon2|\$pbkdf2|\$[156]\$|pbkdf2_|bcrypt|age1)")

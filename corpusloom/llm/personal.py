@@ -239,7 +239,7 @@ _TO = _cue(rf"\s(?:for|who|and|until|by|since|on|if)\b|{_STOP}")
 _BY = _cue(rf"\s(?:on|and|in|at)\b|\s*[<(]|{_STOP}")
 _MAIL = _cue(rf"\s*[<(]|\n|$|{_STOP}", r"\s*")
 _GREET = _cue(r"\s?[,!:—–]|\s-")
-_CLOSE = re.compile(rf"[,!]?\s+(?P<name>{_NAME_WORD}(?:[ ]{_NAME_WORD}){{0,3}})(?=[.!]?\s*(?:\n|$)|[.!]?\s+[A-ZÀ-Ý`#|(\[{{\d\"*>_-])")
+_CLOSE = re.compile(rf"(?P<comma>,)?!?\s+(?P<name>{_NAME_WORD}(?:[ ]{_NAME_WORD}){{0,3}}?)(?=(?P<end>[.!]?[ \t]*(?:\n|$))|\s|[.!,;]|$)")
 #: What stands before a name, by how the name goes on (fixed words).
 _CUES: list[tuple[str, str, re.Pattern]] = [
     *(("to", w, _TO) for w in ("hanks to", "hank you", "udos to", "redits to", "redit to", "ssigned to", "anded over to")),
@@ -273,12 +273,38 @@ def _persons(text: str, seen: Seen) -> Iterator[Item]:
         # words in lower case here may lack their first letter, so that both cases are found
         if at == 0 or not text[at - 1].isalnum() or word[0].islower() and (at == 1 or not text[at - 2].isalnum()) or word[0] == "担":
             m = rest.match(text, at + len(word))
-            if m and _sound(how, m["name"]):
+            if m is None:
+                continue
+            if how in ("close", "sign"):
+                yield from _signed(text, how, word, m)
+            elif _sound(how, m["name"]):
                 yield _whole(text, *m.span("name"))
     for at, _ in seen.get("lives", ()):
         yield from _before(text, at)
 
 
+def _signed(text: str, how: str, word: str, m: re.Match) -> Iterator[Item]:
+    """A name that closes a text or a line; one that runs on into a sentence is cut to what is sure."""
+    start = m.start("name")
+    line = text[start : start + 60].partition("\n")[0]
+    alone = re.fullmatch(rf"({_NAME_WORD}(?:,?[ ]{_NAME_WORD}){{0,3}})[.!]?[ \t]*", line)
+    if alone:
+        name = alone.group(1)
+    elif how == "close":
+        if not m["comma"] or word in ("hanks", "Best", "Yours"):
+            return
+        name = m["name"]
+    else:
+        kind = r"[A-ZÀ-ÝŁØÅŞ](?:[\w’'-]+|\.)" if line[:1].isupper() else r"[a-zß-ÿłøåşćśźžč][\w’'-]+"
+        run = re.match(rf"{kind}(?:,?[ ]{kind}(?![\w.])){{0,2}}", line)
+        if run is None:
+            return
+        words = run.group().split(" ")
+        name = " ".join(words[: 3 if len(words) > 1 and words[1].endswith(".") else 2])
+    if _sound(how, name):
+        yield Item(start, start + len(name.rstrip(",")), "person")
+
+
 def _whole(text: str, start: int, end: int) -> Item:
     """A name with its given name, where that follows the surname and a comma."""
     more = _REST_OF_NAME.match(text, end) if " " not in text[start:end] else None
