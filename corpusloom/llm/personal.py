@@ -173,7 +173,15 @@ def _numbers(text: str, seen: Seen) -> Iterator[Item]:
         if not cue and form and not intl and re.match(r"0\d{2,4}[ /\-]\d{3,8}\Z", s):
             score -= 0.2
         if score >= 0.6:
-            yield Item(start, form.end() if form else end, "phone")
+            yield Item(start, start + len(_one_number(text[start : form.end() if form else end])), "phone")
+
+
+def _one_number(found: str) -> str:
+    """A number without a sentence end or a following one that it ran into; none has over 15 digits."""
+    found = re.split(r"(?<!ext)\.\s", found)[0]
+    while " " in found and sum(map(str.isdigit, re.split(r"[a-zA-Z]", found)[0])) > 15:
+        found = found.rpartition(" ")[0]
+    return found
 
 
 # ------------------------------------------------------------ addresses
@@ -193,7 +201,7 @@ _ES = re.compile(rf"(?<![\w/])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camin
 _ES_WORDS = ("Calle", "C/", "Avenida", "Avda", "Av.", "Plaza", "Paseo", "Camino", "Carrera", "Ronda", "Travesía")
 _BOX_WORDS = ("Box ", "Postfach", "Apartado", "postale", "Casilla", "B.P.")
 _CUED_PLACES = ("lives at", "address", "deliver_to", "hip", "nschrift", "omicil", "dresse", "wohnt", "habite", "vive en", "送付先", "住所")
-_TAIL = re.compile(r"(?:,\s(?:Apt|Flat|Unit|Suite|\d+\.?[ºª]|[A-ZÀ-Ý][\w’-]+|\d{4,5})[^\S\n]?[^,.;\n\"()]{0,24}){0,4}")
+_TAIL = re.compile(rf"(?:,\s(?:(?:Apt|Flat|Unit|Suite)\.?\s\w{{1,5}}|\d+\.?[ºª](?:\s[A-Z]\b)?|\d{{4,5}}(?:\s{_CAP})?|{_CAP}(?:\s\d{{4,5}})?)(?![\w@])){{0,4}}")
 _PLACE_CUE = re.compile(r"""(?i)(?:lives at|home address:|address since \w+:|deliver_to:|ship(?:ping)?(?: address)?:|anschrift:|domicilio:|adresse\s?:|wohnt (?:in|am)|habite(?:\sau)?|vive en|送付先[:：]|住所[:：])\s*["']?(?=\S)""")
 
 
@@ -214,7 +222,7 @@ def _addresses(text: str, seen: Seen) -> Iterator[Item]:
         if start >= end:
             # the parts of one address follow each other by commas
             end = max(stop, _TAIL.match(text, stop).end())
-            yield Item(start, stop, "address")
+            yield Item(start, end, "address")
     if "place" in seen:
         for c in _PLACE_CUE.finditer(text):
             rest = text[c.end() : c.end() + 60].split("\n")[0]
