@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 LANGUAGES = ("python", "javascript", "typescript", "rust")
 #: Canonical lines per original line, and characters per line, from which a layout is minified.
 EXPANSION, LINE_LENGTH = 6.0, 160
-#: Shapes per line up to which a layout is uniform, and lines from which that says anything.
-UNIFORM, UNIFORM_LINES = 0.12, 16
-#: The same with a tool's own statement at the head of the file.
+#: Share of the four commonest shapes in the lines of code from which a layout is uniform, and lines from
+#: which that says anything. Long files by hand repeat shapes too, but spread over many.
+COMMON, UNIFORM_LINES = 0.85, 16
+#: Shapes per line of code, and lines, with a tool's own statement at the head of the file.
 UNIFORM_STATED, UNIFORM_LINES_STATED = 0.5, 4
 #: Share of literals in the code, and number of literals, from which a file is bulk data.
 LITERALS, LITERALS_LEAST = 0.6, 40
@@ -40,7 +41,7 @@ _COMMENT_START = {"python": ("#", '"""', "'''"), "": ("//", "/*", "*", "<!--")}
 _STATED = re.compile(
     r"""@generated\b|<auto-?generated|\bauto-?generated\ (?:file|by|from|code)\b|\bautomatically\ (?:generated|created|produced)\b|\bcode\ generated\ by\b|\b(?:this\ file\ (?:was|is)\ )generated\b|\bgenerated\ (?:by|with|from|using)\ \S+
     |\bmachine[ -](?:written|generated|made)\b|\b(?:hand|manual)\ edits\ (?:are|will\ be|get)\ (?:overwritten|lost)|\bchanges\ will\ be\ (?:lost|overwritten)|\bAUTOGENERATED\b
-    |\bautomatisch\ (?:erzeugt|generiert|erstellt)\b|\bgénéré\ automatiquement\b|\bgenerado\ automáticamente\b|\boutput\ of\ \S+\ \(""",
+    |\bautomatisch\ (?:erzeugt|generiert|erstellt)\b|\b(?:généré|produit|créé)\ (?:automatiquement|par\ \S+,)|\b(?:generado|producido|creado)\ (?:automáticamente|por\ \S+,)|\bne\ pas\ modifier\b|\bno\ (?:modificar|editar)\b|\bnicht\ (?:von\ Hand\ )?(?:ändern|bearbeiten)\b|\boutput\ of\ \S+\ \(""",
     re.X | re.I,
 )
 
@@ -52,6 +53,7 @@ class Layout(NamedTuple):
     expansion: float
     line_length: float
     shapes: float
+    common: float
     literals: int
     literal_share: float
 
@@ -83,9 +85,10 @@ def layout(text: str, language: str) -> Layout:
             elif _is_data(m.group()):
                 literals += n // 16
                 literal += n
-    shapes = Counter(_NUMBER.sub("0", _WORD.sub("w", _STRING.sub("s", x.strip()))) for x in lines)
-    count = max(1, len(lines))
-    return Layout(len(lines), canonical / count, len(text) / count, len(shapes) / count, literals, literal / max(1, code))
+    marks = _COMMENT_START.get(language, _COMMENT_START[""])
+    shapes = Counter(_NUMBER.sub("0", _WORD.sub("w", _STRING.sub("s", s))) for x in lines if not (s := x.strip()).startswith(marks))
+    count, of_code = max(1, len(lines)), max(1, shapes.total())
+    return Layout(len(lines), canonical / count, len(text) / count, len(shapes) / of_code, sum(n for _, n in shapes.most_common(4)) / of_code, literals, literal / max(1, code))
 
 
 def _is_data(literal: str) -> bool:
@@ -152,7 +155,7 @@ def reason(file: str | None, text: str | None, language: str | None, libraries:
     if x.expansion >= EXPANSION and x.line_length >= LINE_LENGTH:
         return "minified"
     stated = bool(_STATED.search(head)) and not re.search(r"\bgenerated (?:at|every|each|on)\b", head)
-    if x.shapes <= UNIFORM and x.lines >= UNIFORM_LINES or stated and x.shapes <= UNIFORM_STATED and x.lines >= UNIFORM_LINES_STATED:
+    if x.common >= COMMON and x.lines >= UNIFORM_LINES or stated and x.shapes <= UNIFORM_STATED and x.lines >= UNIFORM_LINES_STATED:
         return "generated"
     return None
 
