@@ -67,7 +67,7 @@ _JS_VALUES = frozenset("this super true false null".split())
 _JS_UNARY = frozenset("typeof void delete await new".split())
 _JS_LOOSE = frozenset("return throw yield break continue debugger".split())
 _JS_PAREN = frozenset("if while switch for with".split())
-_JS_RESERVED = frozenset("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum".split())
+_JS_RESERVED = frozenset("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum await yield".split())
 _JS_MODIFIERS = frozenset("async get set static of let".split())
 _TS_MODIFIERS = frozenset("async get set static of let type declare abstract readonly public private protected namespace module keyof infer asserts unique override accessor interface is as satisfies global out in".split())
 _TS_INFIX = frozenset("as is satisfies implements extends".split())
@@ -114,7 +114,11 @@ def _scripts(text: str, typed: bool) -> None:
         if group_of == "w" and last not in (".", "?.", "#"):
             key = kind == "object" and last in ("{", ",") or kind == "class" and (state == START or last in modifiers or newline and state in (OPERAND, END))
             if t in _JS_RESERVED and not key:
-                if t in ("in", "instanceof"):
+                if t == "with" and state == OPERAND and last == "0" and not newline:
+                    state = OP  # attributes of an import
+                elif typed and t == "const" and last == "as":
+                    state = OPERAND
+                elif t in ("in", "instanceof"):
                     if state not in (OPERAND, END):
                         raise _Stop("misplaced word", at)
                     state = OP
@@ -125,7 +129,7 @@ def _scripts(text: str, typed: bool) -> None:
                 else:
                     if state == OPERAND and not (newline and statements) and last not in modifiers and not (typed and t in ("const", "typeof", "void", "null", "this", "true", "false", "new", "import") and last in ("as", "is", "keyof", "asserts")) and not (t == "default" and before == "export"):
                         raise _Stop("misplaced word", at)
-                    if state == OP and t not in _JS_VALUES and t not in _JS_UNARY and t not in ("function", "class", "import") and last not in ("=>", "export", "@)") and not (typed and (t in ("const", "enum") or last in (":", "|", "&", "<", "="))):
+                    if state == OP and t not in _JS_VALUES and t not in _JS_UNARY and t not in ("function", "class", "import", "yield") and last not in ("=>", "export", "@)") and not (typed and (t in ("const", "enum") or last in (":", "|", "&", "<", "="))):
                         raise _Stop("misplaced word", at)
                     if t in _JS_VALUES:
                         state = OPERAND
@@ -191,9 +195,9 @@ def _scripts(text: str, typed: bool) -> None:
                 raise _Stop("misplaced word", at)
             if typed and t in _TS_HEADS and (state != OPERAND or newline) and re.match(r"[ \t]+[\w$.\"']", text[pos : pos + 40]):
                 pending = "type"
-            if typed and t in _TS_INFIX and state in (OPERAND, END) and not newline:
+            if typed and t in _TS_INFIX and state in (OPERAND, END) and not newline and last not in ("let", "const", "var"):
                 state = OP if t != "implements" else END
-            elif t == "of" and state == OPERAND:
+            elif t == "of" and state == OPERAND and last not in ("let", "const", "var"):
                 state = OP
             else:
                 state = OPERAND
@@ -202,7 +206,7 @@ def _scripts(text: str, typed: bool) -> None:
         if group_of == "w":  # a property after a dot
             state = OPERAND
         elif group_of in ("n", "q"):
-            if state == OPERAND and not (newline and statements) and last != "from":
+            if state == OPERAND and not (newline and statements) and last != "from" and not (typed and last == "module"):
                 raise _Stop("misplaced literal", at)
             if last in (".", "?."):
                 raise _Stop("misplaced literal", at)
@@ -212,6 +216,8 @@ def _scripts(text: str, typed: bool) -> None:
         elif t in "([":
             if t == "(" and after_paren:
                 role, after_paren = after_paren, ""
+            elif t == "(" and last == "@)":
+                role = "decorator"
             elif t == "(" and kind == "class" and state != OP:
                 role = "params"
             elif t == "(" and kind == "object" and state == OPERAND:
@@ -226,7 +232,10 @@ def _scripts(text: str, typed: bool) -> None:
         elif t == "{":
             if last == ".":
                 raise _Stop("misplaced bracket", at)
-            if pending:
+            after_paren = ""
+            if last == "let":
+                role = "object"
+            elif pending:
                 role, pending = pending, ""
             elif last in ("=>", ")", "else", "do", "try", "finally", "static", "catch", ";", "}") or state == START and kind in ("block", "top", "switch") and last not in ("import", "export"):
                 role = "switch" if last == ")" and before == "switch)" else "try" if last == "try" else "block"
@@ -274,6 +283,8 @@ def _scripts(text: str, typed: bool) -> None:
                         must = ("{",)
                     if empty:
                         raise _Stop("premature end", at)
+                elif role == "decorator":
+                    state = END
                 elif role in ("function", "params", "method"):
                     state = END
                     must = ("{", ":", ";") if typed else ("{",)
@@ -342,7 +353,7 @@ def _scripts(text: str, typed: bool) -> None:
             if typed and top.case:
                 top.case, state = False, START
         elif t == "?":
-            if state not in (OPERAND, END):
+            if state not in (OPERAND, END) and not (typed and last in ("+", "-")):
                 raise _Stop("misplaced operator", at)
             if not typed or not re.match(r"\s*[:)(,;=?]", text[pos : pos + 20]):
                 top.ternaries += 1
@@ -381,7 +392,7 @@ def _scripts(text: str, typed: bool) -> None:
                 pos = d.end()
             state, t = END, "@)"
         elif t == "#":
-            if re.match(r"[A-Za-z_$]", text[pos : pos + 1]) is None or state == OPERAND and not newline:
+            if re.match(r"[A-Za-z_$]", text[pos : pos + 1]) is None or state == OPERAND and not newline and last not in modifiers:
                 raise _Stop("unknown character", at)
         elif t in ("++", "--"):
             if state == OPERAND and not newline:
@@ -408,7 +419,7 @@ def _scripts(text: str, typed: bool) -> None:
                 state = END if last in ("import", "export", "yield") else START
                 if last in ("function", "async", "static"):
                     state = END
-            elif state in (START, OP) and not (t in ("+", "-") or typed and (t in ("<", "|", "&") or t in (">", ">>") or last in (">", "!"))):
+            elif state in (START, OP) and not (t in ("+", "-") or typed and (t in ("<", "|", "&") or t in (">", ">>") or last in (">", "!") or t == "=" and last == "export")):
                 raise _Stop("misplaced operator", at)
             elif typed and t in (">", ">>", ">>>"):
                 state = END
@@ -500,7 +511,7 @@ def _rust(text: str) -> None:
                 top = stack[-1]
                 if top.kind != "tree":
                     state = START if was.at < 0 else END if t == "}" else OPERAND
-                    before, last = "", ("]" if was.at < 0 else t)
+                    before, last = "", ("pub" if t == ")" and was.at < 0 else "]" if was.at < 0 else t)
             elif g == "p" and t == "~":
                 raise _Stop("unknown character", at)
             continue
@@ -551,7 +562,7 @@ def _rust(text: str) -> None:
                         if name is None:
                             raise _Stop("incomplete statement", at)
                         pos = name.end()
-                        before, last, state = "", "!", OPERAND
+                        before, last, state = "macro", "!", OPERAND
                         continue
                     if state == OPERAND and not (t == "union" and kind in ("items", "block")):
                         raise _Stop("misplaced word", at)
@@ -564,7 +575,7 @@ def _rust(text: str) -> None:
                     raise _Stop("misplaced word", at)
                 if t == "let" and kind in ("items", "fields"):
                     raise _Stop("misplaced word", at)
-                if t in ("fn", "struct", "enum", "trait", "mod") and not (t == "fn" and state == OP and last not in ("pub", "unsafe", "async", "const", "extern", "default")):
+                if t in ("fn", "struct", "enum", "trait", "mod") and not (t == "fn" and last == ">") and not (t == "fn" and state == OP and last not in ("pub", "unsafe", "async", "const", "extern", "default")):
                     named, head = True, t
                     params = t == "fn"
                 elif t == "impl" and state != OP and kind in ("items", "block"):
@@ -579,6 +590,9 @@ def _rust(text: str) -> None:
             else:
                 if state == OPERAND and not last.startswith("'") and not (last in ("auto", "default", "raw", "safe")):
                     raise _Stop("misplaced word", at)
+                if t == "crate" and last == "extern":
+                    before, last, state = last, t, END
+                    continue
                 if state == START and kind == "items" and t not in _RUST_ITEMS and not re.match(r"\s*(?:::\s*\w+\s*)*!", text[pos : pos + 200]) and last not in ("impl", "where", ",") and not head:
                     raise _Stop("misplaced word", at)
                 state = OPERAND
@@ -595,6 +609,10 @@ def _rust(text: str) -> None:
                 raise _Stop("misplaced literal", at)
             state = END
         elif t in ("(", "[", "{"):
+            if t == "(" and last == "pub":
+                top = _Context(t, "tree", -1)
+                stack.append(top)
+                continue
             if last == "!" and before != "" and before not in ("(", ",", "=", "&&", "||", "{", ";", "if", "while", "return", "!") and state == OPERAND:
                 top = _Context(t, "tree", at)
                 stack.append(top)
@@ -615,7 +633,7 @@ def _rust(text: str) -> None:
                 head, top.header = "", False
             else:
                 role = "list"
-                if t == "[" and state == START and kind == "items" and last != "#":
+                if t == "[" and state == START and kind == "items" and last not in ("#", "where", ","):
                     raise _Stop("misplaced bracket", at)
             top = _Context(t, role, at)
             stack.append(top)
@@ -641,7 +659,7 @@ def _rust(text: str) -> None:
                 if role == "params":
                     must = ("{", ";", "->", "where")
         elif t == ";":
-            if state == OP and last != "..":
+            if state == OP and last != ".." and not (last == "*" and before == "::"):
                 raise _Stop("premature end", at)
             if top.header or named or params:
                 raise _Stop("premature end", at)

@@ -33,6 +33,16 @@ def test_broken(language, text):
     assert S.problem(text, language) is not None
 
 
+MORE_JS = ['export default function () { return 1 }', "export * from './a';\nexport { a as b, c };", "const m = await import('./x');", 'if (x) /re/.test(y);', 'const f = ({ a = 1, ...r } = {}, [b, , c]) => ({ ...r, a, [b]: c, d() {}, get e() { return 1 }, async *g() {} });', 'x = a ? b ? c : d : { e: f ? 1 : 2 };', 'for (let i = 0, j = 1; i < 3; i++, j--) ;', 'for await (const x of y) z(x);', 'do { a() } while (b)\nc()', 'class A { static { init() } static x = 1; y; #z = 2; async *m() {} get [k]() { return 1 } constructor() { super(); } }', 'a?.b?.[c]?.(d)', 'new Foo', 'new Foo().bar', "throw new Error(`a ${b ? `c ${d}` : ''}`)", 'var a = function b() {}, c = class {}', '(function () {})();\n(() => {})()', 'if (a) b(); else if (c) d(); else { e() }', 'switch (a) { case 1: case 2: { b(); break } default: }', 'const re = /[/\\]]+/g, q = a / b / c;', 'x = y\n++z', 'let async = 1; async()', '`a${{ b: 1 }.b}`', "return_ = typeof a === 'undefined' || !(b in c) && void 0", 'try { a() } catch { b() } finally { c() }', "o = { if: 1, class: 2, 'a-b': 3, 4: 5 }", 'a = b ?? c; a ||= 1; a **= 2', 'export const x = 1, y = 2', "import d, { e } from 'f'; import * as g from 'h'; import 'i'", 'yield_(function* () { yield; yield* a; const b = yield c })', 'x = a => b => c', 'async function f() { for (;;) { await g } }', 'if (!a) return_; else b', 'label: for (;;) { continue label }', 'x = [,,1]', 'f(a, b,)', '({ a } = b)', 'let { x: { y }, z = 1 } = w', 'while (i--) if (a[i]) break', 'x = !0, y = -1, z = +a, w = ~b', 'a = b\n/c/g.d', "import json from './a.json' with { type: 'json' };", '// only comment', "'use strict'\nvar a", 'const a = 1n, b = 0xff, c = .5, d = 1_000, e = 1e3', 'html = \'<a href="\' + x + \'">\'', 'a = x ? (y) : z', 'delete a.b, void 0', 'x = function () { return }', 'if (a) { } \n [1].map(f)', 'const t = a<b, u = c>d', "export { default } from './x'; export { default as y } from './z'", 'a\n  .b()\n  .c()', 'x = { ...a, b }', 'debugger;', 'const {a} = this, b = super_']
+MORE_TS = ['type A = { a: string; b?: number; [k: string]: unknown; m(): void; readonly c: string[] } & B | C;', 'type F = (a: number, ...b: string[]) => void; type G = new () => X; type K = keyof typeof x; type I = X extends Y ? infer_ : never;', 'type C<T> = T extends (infer U)[] ? U : never;', 'function f<T extends object = {}>(this: Window, a?: T, b = 1): asserts a is T {}', 'abstract class A<T> extends B<T> implements C, D { private readonly x: number = 1; protected abstract y(): void; constructor(private a: string, public b?: number) { super() } static #z?: string; get v(): number { return 1 } declare w: string; m<U>(x: U): U; m(x: any) { return x } }', "declare module 'x' { export function f(): void; const y: number; }", 'namespace A.B { export const c = 1 }', "enum E { A = 'a', B = 1 << 2 }\nconst enum F { G }\ndeclare const H: string;", '@Component({ a: 1 }) class A { @Input() b: string; @Output() c = new E<string>(); constructor(@Inject(X) private y: Y) {} }', 'let a = b as const, c = <any>d, e = f!, g = h!.i![0];', 'const x = y satisfies Z;', "export type { A } from './b'; import type { C } from './d'; export interface E<T = any> extends F<T>, G { (a: string): void; new (b: number): E; }", 'let t: [a: string, b?: number, ...c: boolean[]] = [x];', 'const f = async <T,>(a: T): Promise<T[]> => { return [a] };', 'for (const [k, v] of Object.entries(m) as [string, number][]) {}', 'let u: `a${string}` | undefined = undefined;', 'export default class<T> {}', "export = x;\nimport y = require('z');", "let fn: typeof import('x');", 'function over(a: string): void;\nfunction over(a: number): void;\nfunction over(a: any) {}', 'type M = { readonly [K in keyof T as `x${K}`]-?: T[K] };', 'if (a < b && c > d) { e<F>(g) }', 'const m = new Map<string, Array<Set<number>>>();', 'let o = { a: 1 as number, b: <T>(x: T) => x, c(this: X) {} };', 'class A { x = 1\n y = 2\n m() {} }', 'let x: unique symbol; let a: object | null = null;', "type P = abstract new () => void; type O = A['b'][number];", 'export abstract class B { abstract get x(): string; }', 'try { } catch (e: unknown) { }', 'let v = a ? b : c as D;', 'type G = Array<{ a: number }>; function g(): { a: number } { return { a: 1 } }', 'const a: () => void = () => {}; const b = (x?: number) => x ?? 1;', 'declare global { interface Window { x: any } }', 'override_: while (1) {}', 'let x = y! + 1, z = a! as B;', 'accessor_ = 1; get_(); type_ = 2; const type = 1; type.x; let of = 1, from = 2']
+MORE_RUST = ["fn main() { for i in 0..10 { if let Some(x) = y { z(x)?; } else { break 'a; } } }", "pub fn f<T>(x: T) -> impl Fn(u8) -> u8 where T: Into<String> + 'static { move |a| a + 1 }", 'let_!();', 'macro_rules! m { ($x:expr) => { $x + 1 }; }\nm!{1}', "#[derive(Debug, Clone)]\npub struct A<'a, T: 'a + ?Sized> { pub(crate) b: &'a T, c: [u8; 4], d: Box<dyn Fn() -> u8 + Send> }", 'impl<T> Trait for A<T> where T: B { type C = D; const E: u8 = 1; fn f(&mut self) -> Self::C { match *self { A { b, .. } if b > 1 => b, A { ref c, .. } | A { d: ref c, .. } => { c } _ => unreachable!(), } } }', 'async fn f() { x.await?; async move { y }.await; let z = async { 1 }; }', 'fn f() { let a = |x: u8, y| -> u8 { x + y }; let b = || 1; let c = [0u8; 3]; let (d, mut e) = (1, 2.0); let f = &mut g[1..]; let h = &x[..=2]; }', 'const A: &[(&str, u8)] = &[("a", 1)]; static mut B: u8 = b\'a\'; type C<T> = Result<T, E>;', 'use std::{a::{self, B}, c::*}; pub use d as e; extern crate f; mod g; pub mod h { pub fn i() {} }', 'unsafe impl Send for A {} extern "C" { fn f(x: *const u8, ...) -> i32; } pub unsafe extern "C" fn g() {}', 'trait A: B + C { type D: E; fn f(&self); fn g(self: Box<Self>) -> u8 { 1 } }', 'fn f() -> Option<u8> { let Some(x) = y else { return None; }; Some(if a { 1 } else { 2 } as u8) }', 'fn f() { let x = A::<u8>::new(); let y = <A as B>::c(); let z = A { a: 1, ..Default::default() }; loop { break; } while let Some(a) = b.pop() {} }', 'fn f() { println!("{:?}", x); vec![1, 2]; let s = r#"a"b"#; let c = \'\\\'\'; let d = \'x\'; let l: &\'static str = ""; }', 'enum A { B, C(u8, String), D { e: u8 }, F = 3 }', 'fn f(x: u8) -> u8 { return if x > 1 { x } else { 0 }; }', 'fn f() { x = y << 2 >> 1 & 3 | 4 ^ 5; a += 1; b <<= 2; !c; -d; *e = 1; }', "fn f() { let t = (1,); let u = (); match x { 1..=5 => {} 'a' | 'b' => (), n @ 6..=9 => n, _ if y => {} _ => {} } }", 'pub(in crate::a) fn f() {} \n#[cfg(test)]\nmod tests { use super::*; #[test] fn t() { assert_eq!(1, 1); } }', 'impl fmt::Display for A { fn fmt(&self, f: &mut fmt::Formatter<\'_>) -> fmt::Result { write!(f, "{}", self.0) } }', 'fn f<const N: usize>(a: [u8; N]) where [u8; N]: Sized {}', 'fn f() { if a && (b || !c) { d } else if let A(e) | B(e) = f { g } else { h } }', 'fn f() { x.iter().map(|&y| y as u64).filter(|z| *z > 1).collect::<Vec<_>>() }', "static A: fn(u8) -> u8 = f; const F: for<'a> fn(&'a u8) = g;", "fn f() { 'outer: for x in y { continue 'outer } let r = 'b: { break 'b 1 }; }", 'union U { a: u8, b: f32 }', 'fn f() { return; }\nfn g() { (a)(b); (|x| x)(1); }', 'let_else!{}\nthread_local! { static A: u8 = 1; }', 'fn f() { let x: fn() -> ! = g; let y = *p.q; let z = &&a; let w = a as *const u8; }', 'fn f() { if x == (A { b: 1 }) {} ; match () { () => {} } }']
+
+
+@pytest.mark.parametrize(("language", "text"), [("javascript", t) for t in MORE_JS] + [("typescript", t) for t in MORE_JS + MORE_TS] + [("rust", t) for t in MORE_RUST])
+def test_more_valid(language, text):
+    assert S.problem(text, language) is None
+
+
 def test_syntax_table(spark):
     rows = [("r", "a.py", "x = (", "python"), ("r", "a.py", "x = (", "python"), ("r", "b", None, "json"), ("r", "c", "{", None), ("r", "d", "{", "yaml"), ("r", "e", "x = 1", "python")]
     df = spark.createDataFrame(rows, "repo string, file string, text string, language string")
