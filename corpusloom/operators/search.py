@@ -19,9 +19,12 @@ SYSTEM = "You answer questions about code. Use only the given context and say so
 NO_CONTEXT = "No relevant context found."
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int, id_: str, vector: str, metric: str = "cosine") -> DataFrame:
+def top_k(queries: DataFrame, index: DataFrame, k: int, id_: str, vector: str, metric: str = "cosine", within: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k best of `index` (id, vector) for each of `queries` (id, vector).
 
+    With `within`, a column of both, each query is compared only with rows of its own value there; a
+    null value equals none.
+
     metric: cosine (higher is nearer; pairs with a zero vector have no score and are left out) or l2
     (squared distance, lower is nearer). Scores are in double precision, rounded to six decimals;
     among equals the smaller id is nearer. Null vectors and vectors of another length than the
@@ -34,8 +37,11 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, id_: str, vector: str, m
     n_queries, n_index = queries.count(), index.count()
     blocks, shards = max(1, math.ceil(n_queries / QUERY_BLOCK)), max(1, math.ceil(n_index / INDEX_SHARD), min(8, math.ceil(n_index / 500)))
     part = lambda n, salt: F.pmod(F.xxhash64(F.col(id_), F.lit(salt)), F.lit(n)).cast("int")
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("vector"), part(blocks, 1).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    x = index.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("vector"), part(shards, 2).alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = [F.col(within).alias("own")] if within else []
+    if within:
+        queries, index = queries.where(F.col(within).isNotNull()), index.where(F.col(within).isNotNull())
+    q = queries.where(F.col(vector).isNotNull()).select(*own, F.col(id_).alias("id"), F.col(vector).alias("vector"), part(blocks, 1).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    x = index.where(F.col(vector).isNotNull()).select(*own, F.col(id_).alias("id"), F.col(vector).alias("vector"), part(shards, 2).alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def compare(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -61,7 +67,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, id_: str, vector: str, m
                 out.append(pd.DataFrame({"query_id": query, "id": ids[best], "score": s[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
-    near = q.groupBy("block", "shard").cogroup(x.groupBy("block", "shard")).applyInPandas(compare, f"query_id {kind}, id {kind}, score double")
+    keys = ["own", "block", "shard"] if within else ["block", "shard"]
+    near = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(compare, f"query_id {kind}, id {kind}, score double")
     best = F.col("score").desc() if metric == "cosine" else F.col("score").asc()
     rank = W.partitionBy("query_id").orderBy(best, "id")
     return near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)

@@ -167,6 +167,8 @@ def oracle_sql() -> dict[str, str]:
             where symbol_id not in (select symbol_id from fresh)""",
         "cosine_topk": _topk("list_cosine_similarity(a, b)", "desc", "cosine"),
         "cosine_topk_filtered": _topk("list_cosine_similarity(a, b)", "desc", "cosine", "label = 3"),
+        "cosine_topk_by_label": """select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(a, b), 6) as cosine, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(a, b), 6) desc, e.vec_id)::int as rank
+            from (select distinct vec_id, embedding::double[] as a, label from embeddings where vec_id % 50 = 0) q join (select distinct vec_id, embedding::double[] as b, label from embeddings) e on q.label = e.label qualify rank <= 5""",
         "l2_topk": _topk("list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))", "asc", "distance"),
         "context_budget": f"select query_id, chunk_id, rank, used::bigint as used from {_KEPT}",
         "context_string": f"select query_id, length(context)::int as n_chars, md5(context) as context_md5 from {_CONTEXTS}",

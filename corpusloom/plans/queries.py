@@ -339,12 +339,20 @@ def cosine_topk(spark, d):
 
 @query
 def cosine_topk_filtered(spark, d):
-    """The same among vectors of the query's label."""
+    """The same under one filter on both sides, label 3; cosine_topk_by_label has the queries of every label."""
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label").distinct()
     found = search.top_k(e.where("vec_id % 50 = 0 and label = 3"), e.where("label = 3"), 5, "vec_id", "embedding")
     return found.select("query_id", F.col("id").alias("vec_id"), F.col("score").alias("cosine"), "rank")
 
 
+@query
+def cosine_topk_by_label(spark, d):
+    """The 5 most similar vectors of the query's own label for each query vector that has one."""
+    e = table(spark, d, "embeddings", "vec_id", "embedding", "label").distinct()
+    found = search.top_k(e.where("vec_id % 50 = 0"), e, 5, "vec_id", "embedding", within="label")
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("score").alias("cosine"), "rank")
+
+
 @query
 def l2_topk(spark, d):
     """The 5 nearest vectors by squared distance."""

@@ -1,9 +1,15 @@
+import os
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators import search as S
+from corpusloom.plans.queries import queries
+
+DATA = Path(os.environ.get("CORPUSLOOM_TEST_DATA", "/root/testdata/sf0.001"))
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
@@ -39,6 +45,26 @@ def test_topk_edges(spark):
         S.top_k(df, df, 1, "id", "v", "dice")
 
 
+def test_topk_within_own_value(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist(), i % 4 if i % 9 else None) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, label int")
+    got = {}
+    for r in S.top_k(df.where("id % 10 = 0"), df, 3, "id", "v", within="label").collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    unit = {i: np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)) for i, v, _ in rows}
+    label = {i: own for i, _, own in rows}
+    want = {q: sorted((i for i in unit if label[i] == label[q]), key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:3] for q in range(0, 240, 10) if label[q] is not None}
+    assert {q: [g[k] for k in sorted(g)] for q, g in got.items()} == want and len({label[q] for q in want}) > 1
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_every_labelled_query_is_answered(spark):
+    found = queries()["cosine_topk_by_label"](spark, str(DATA)).select("query_id").distinct().count()
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 50 = 0 and label is not null and embedding is not null")
+    assert found == e.select("vec_id").distinct().count() > e.where("label = 3").select("vec_id").distinct().count()
+
+
 def test_vector_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0])], "a array<float>, b array<float>")
     rows = df.select(V.cosine(F.col("a"), F.col("b")), V.squared_distance(F.col("a"), F.col("b"))).collect()
