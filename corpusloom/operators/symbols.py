@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.chunks import chunk_text
 
-FOUND = "symbol_type string, symbol_name string, parent_symbol string, start_line int, end_line int, content string, docstring string, signature string, exported boolean, is_async boolean, imports array<string>, ast_parse_failure boolean"
+FOUND = "symbol_type string, symbol_name string, parent_symbol string, start_line int, end_line int, content string, docstring string, signature string, exported boolean, is_async boolean, imports array<string>, ast_parse_failure boolean, exports array<string>"
 Symbol = tuple
 
 
@@ -38,7 +38,7 @@ def python_symbols(text: str) -> list[Symbol]:
                 is_class = isinstance(node, ast.ClassDef)
                 kind = "class" if is_class else "method" if parent else "function"
                 name = node.name if is_class or not parent else f"{parent}.{node.name}"
-                out.append((kind, name, None if is_class else parent, node.lineno, node.end_lineno, content, ast.get_docstring(node, clean=True), signature, not node.name.startswith("_"), isinstance(node, ast.AsyncFunctionDef), imports, None))
+                out.append((kind, name, None if is_class else parent, node.lineno, node.end_lineno, content, ast.get_docstring(node, clean=True), signature, not node.name.startswith("_"), isinstance(node, ast.AsyncFunctionDef), imports, None, []))
                 if is_class:
                     visit(node.body, node.name)
             else:
@@ -115,6 +115,173 @@ def _comment_before(lines: list[str], line: int) -> str | None:
     return "\n".join(x.strip() if x.strip().startswith("//") else x.strip() if x.strip().startswith("/*") else " " + x.strip() for x in lines[k + 1 : line]) or None
 
 
+_IMPORT = re.compile(r"(?<![\w$.])import\b\s*(?:(?:type|typeof)\b\s*(?=[{*]|(?!from\s)[\w$]))?(?:(?P<name>[\w$]+)\s*=(?!=)|(?:(?P<default>[\w$]+)\s*,?\s*)?(?:\*\s*as\s+(?P<space>[\w$]+)|\{(?P<list>[^{}]*)\})?\s*\bfrom\b)")
+_EXPORT = re.compile(
+    r"""(?<![\w$.])export\b\s*(?:(?P<default>default\b)
+    |(?:type\s*)?\{(?P<list>[^{}]*)\}|\*\s*as\s+(?P<space>[\w$]+)
+    |(?:(?:declare|abstract|async)\s+)*(?:(?:function\b\s*\*?|class|interface|(?:const\s+)?enum|type|namespace|module|import)\s*\b(?P<name>[\w$]+)|(?P<variables>const|let|var)\b)
+    )""",
+    re.X,
+)
+_USE = re.compile(r"(?<![\w#$])use\s+([^;]+);")
+_GAP = re.compile(r"(?:\s|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))*")
+_OPEN, _CLOSE = "([{", ")]}"
+#: Words that begin an expression which is neither a name nor a call.
+_NO_NAME = frozenset("async await delete false function class abstract import interface new null super this true typeof undefined void yield".split())
+
+
+def _split(code: str) -> list[str]:
+    """The parts between the commas that are inside no bracket."""
+    parts, depth, start = [], 0, 0
+    for k, c in enumerate(code):
+        if c in _OPEN:
+            depth += 1
+        elif c in _CLOSE:
+            depth -= 1
+        elif c == "," and depth == 0:
+            parts.append(code[start:k])
+            start = k + 1
+    return [p.strip() for p in (*parts, code[start:]) if p.strip()]
+
+
+def _closed(code: str, at: int) -> int:
+    """Where the bracket at `at` has been closed."""
+    depth = 0
+    for k in range(at, len(code)):
+        depth += (code[k] in _OPEN) - (code[k] in _CLOSE)
+        if depth == 0:
+            return k + 1
+    return len(code)
+
+
+def _specifiers(listed: str) -> list[str]:
+    """The last name of each specifier; before `as default` and `as` with a literal, the name there."""
+    names = []
+    for item in _split(listed):
+        words = re.findall(r"[\w$]+", item)
+        while len(words) > 1 and (words[-1] == "as" or words[-2:] == ["as", "default"]):
+            words.pop()
+        names += words[-1:]
+    return names
+
+
+def _imported_names(code: str) -> list[str]:
+    """Local names of all import statements: default, namespace, and each specifier's alias or name."""
+    names: list[str] = []
+    for m in _IMPORT.finditer(code):
+        names += [m[k] for k in ("name", "default", "space") if m[k]] + _specifiers(m["list"] or "")
+    return list(dict.fromkeys(names))
+
+
+def _bound(pattern: str) -> list[str]:
+    """Names that a binding takes, also within patterns of objects and arrays."""
+    pattern = pattern.strip().removeprefix("...").strip()
+    if pattern[:1] not in ("{", "["):
+        return re.findall(r"^[\w$]+", pattern)
+    names = []
+    for item in _split(pattern[1 : _closed(pattern, 0) - 1]):
+        key = re.match(r"(?:[\w$]+|\[[^\]]*\]|)\s*:", item) if pattern[0] == "{" else None
+        names += _bound(item[key.end() :] if key else item)
+    return names
+
+
+def _declared(code: str, at: int) -> list[str]:
+    """Names of the variables declared from `at` to the statement's end."""
+    names: list[str] = []
+    while True:
+        while at < len(code) and code[at].isspace():
+            at += 1
+        if at < len(code) and code[at] in "{[":
+            end = _closed(code, at)
+        else:
+            m = re.compile(r"[\w$]+").match(code, at)
+            if not m:
+                return names
+            end = m.end()
+        names += _bound(code[at:end])
+        at, angle = end, 0
+        while at < len(code):
+            c = code[at]
+            if c in _OPEN:
+                at = _closed(code, at)
+                continue
+            if c == "<" and re.match(r"[\w$]", code[at - 1]):
+                angle += 1
+            elif c == ">" and angle and code[at - 1] != "=":
+                angle -= 1
+            elif c == "," and not angle:
+                break
+            elif c in ";)]}" or c == "\n" and _ended(code, at):
+                return names
+            at += 1
+        if at >= len(code):
+            return names
+        at += 1
+
+
+def _ended(code: str, at: int) -> bool:
+    """Whether the statement ends at this line's end: no operator before it or after it."""
+    before, after = code[:at].rstrip()[-1:], code[at:].lstrip()[:1]
+    return before not in tuple("=+-*/%&|^?:<,.!~([{") and (not after or bool(re.match(r"[\w$@#}\]);]", after)))
+
+
+def _default_name(text: str, code: str, at: int) -> str:
+    """What `export default` names: an identifier, a call's callee, a function or class, or nothing."""
+    at = _GAP.match(text, at).end()
+    m = re.compile(r"(?:(?:async\s+)?function\b\s*\*?|(?:abstract\s+)?class\b)\s*(?!extends\b|implements\b)(?P<name>[\w$]+)").match(code, at)
+    if m:
+        return m["name"]
+    m = re.compile(r"[^\W\d][\w$]*|\$[\w$]*").match(code, at)
+    if not m or m.group() in _NO_NAME:
+        return "default_export"
+    end, found = m.end(), m.group()
+    step = re.compile(r"\s*(?:(?P<call>(?:<[^;(){}]*>\s*)?(?:\?\.\s*)?\()|(?P<member>\??\.\s*\#?[\w$]+|!(?!=))|(?P<index>(?:\?\.)?\[))")
+    while m := step.match(code, end):
+        if m["call"]:
+            found = text[at:end].strip()
+        else:
+            found = "default_export"
+        end = m.end() if m["member"] else _closed(code, m.end() - 1)
+    rest = code[end:]
+    after = rest.lstrip()
+    whole = not after or after[0] in ";}" or "\n" in rest[: len(rest) - len(after)] and bool(re.match(r"(?!(?:in|instanceof)\b)[\w$@]", after))
+    return found if whole else "default_export"
+
+
+def _exported_names(text: str, code: str) -> list[str]:
+    """Names that the export statements give out; `default_export` for a default without a name."""
+    names: list[str] = []
+    for m in _EXPORT.finditer(code):
+        if m["default"]:
+            names.append(_default_name(text, code, m.end()))
+        elif m["variables"]:
+            names += _declared(code, m.end())
+        else:
+            names += [m[k] for k in ("name", "space") if m[k]] + _specifiers(m["list"] or "")
+    return list(dict.fromkeys(names))
+
+
+def _used_names(code: str) -> list[str]:
+    """Last segments or aliases of all `use` declarations, also of nested lists; `self` is the segment before.
+
+    `*` and `as _` bring no name.
+    """
+
+    def leaves(tree: str, before: str) -> Iterator[str]:
+        tree = tree.strip()
+        if tree.endswith("}") and "{" in tree:
+            prefix, inner = tree.split("{", 1)
+            prefix = prefix.strip().rstrip(":").strip()
+            for item in _split(inner[:-1]):
+                yield from leaves(item, prefix.split("::")[-1].strip() or before)
+            return
+        path, alias = (re.split(r"\s+as\s+", tree, maxsplit=1) + [""])[:2]
+        last = path.split("::")[-1].strip()
+        yield alias.strip() or (before if last == "self" and before else last)
+
+    return list(dict.fromkeys(name for m in _USE.finditer(code) for name in leaves(m[1], "") if name not in ("", "*", "_")))
+
+
 def brace_symbols(text: str, rust: bool) -> list[Symbol]:
     """Symbols of JavaScript, TypeScript or Rust by headers and balanced braces.
 
@@ -125,8 +292,7 @@ def brace_symbols(text: str, rust: bool) -> list[Symbol]:
         raise SyntaxError("unbalanced braces")
     lines = text.split("\n")
     found = list((_RUST if rust else _SCRIPT).finditer(code))
-    imports = re.findall(r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)(?:\s*;|\s*::\{)" if rust else r"(?m)^\s*import\s+(?:type\s+)?[{*]?\s*([\w$]+)", code)
-    imports = list(dict.fromkeys(i.split("::")[-1] for i in imports))
+    imports, exports = (_used_names(code), []) if rust else (_imported_names(code), _exported_names(text, code))
     out: list[Symbol] = []
     inside: list[tuple[int, str, str]] = []  # end, kind, name
     for m in found:
@@ -153,7 +319,7 @@ def brace_symbols(text: str, rust: bool) -> list[Symbol]:
         first, last = text.count("\n", 0, at) + 1, text.count("\n", 0, max(at, end - 1)) + 1
         signature = re.sub(r"\s*=\s*$", "", text[at : body[0] if body else end].strip())
         inside.append((end, kind, name))
-        out.append((kind, shown, parent, first, last, text[text.rfind("\n", 0, at) + 1 : end], _comment_before(lines, first - 1), signature, bool(m["export"]), bool(g.get("async") or g.get("arrow_async") or g.get("method_async")), imports, None))
+        out.append((kind, shown, parent, first, last, text[text.rfind("\n", 0, at) + 1 : end], _comment_before(lines, first - 1), signature, bool(m["export"]), bool(g.get("async") or g.get("arrow_async") or g.get("method_async")), imports, None, exports))
     return out
 
 
@@ -188,13 +354,13 @@ def symbols(files: DataFrame) -> DataFrame:
                 parser = parsers.get((language or "").strip().lower())
                 if parser:
                     try:
-                        rows += [(repo, file, language, *s) for s in parser(text)]
+                        rows += [(repo, file, language, *s, *[[]] * (len(names) - 3 - len(s))) for s in parser(text)]  # a registered parser may leave exports out
                         continue
                     except (SyntaxError, ValueError, RecursionError):
                         failed = True
                 for k, (a, b, body) in enumerate(chunk_text(text, language == "markdown")):
                     first = (body.split("\n", 1)[0].strip() if body else "") or f"Chunk {k + 1}"
-                    rows.append((repo, file, language, "chunk", f"chunk_{k + 1}", None, a, b, body, None, first if len(first) <= 100 else first[:97] + "...", False, None, [], failed))
+                    rows.append((repo, file, language, "chunk", f"chunk_{k + 1}", None, a, b, body, None, first if len(first) <= 100 else first[:97] + "...", False, None, [], failed, []))
             yield pd.DataFrame(rows, columns=names)
 
     found = files.select("repo", "file", "language", "text").mapInPandas(run, schema)

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as ft
 from corpusloom.functions.rules import CANDIDATE_TYPES
 from corpusloom.operators import search
-from corpusloom.operators.members import with_members
+from corpusloom.operators.members import with_export_flag, with_members
 from corpusloom.operators.symbols import symbols
 from corpusloom.sources.tree import readable, scan
 
 
 def enriched(found: DataFrame) -> DataFrame:
-    """Symbols with keywords, description, related members and the candidate flag."""
+    """Symbols with keywords, description, related members and the candidate flag; what the file's exports name is exported."""
+    found = with_export_flag(found).withColumn("exported", F.col("is_exported")).drop("is_exported")
     names = ("repo", "file", "symbol_name", "parent_symbol", "symbol_type", "signature", "content", "docstring", "imports")
     related = with_members(found).select("chunk_id", "members")
     s = found.join(related, "chunk_id", "left")

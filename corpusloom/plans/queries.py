@@ -105,7 +105,7 @@ def chunk_overview(spark, d):
 def extracted_symbols(spark, d):
     """Symbols of every source file by its language's parser, chunks where there is none."""
     f = table(spark, d, "source_file", "repo", "file", "language", "text").dropDuplicates(["repo", "file"])
-    return symbols.symbols(evenly(f)).select("chunk_id", "symbol_id", "symbol_type", "symbol_name", "parent_symbol", "start_line", "end_line", "signature", "is_async", "ast_parse_failure")
+    return symbols.symbols(evenly(f)).select("chunk_id", "symbol_id", "symbol_type", "symbol_name", "parent_symbol", "start_line", "end_line", "signature", "is_async", "ast_parse_failure", "imports", "exports")
 
 
 @query

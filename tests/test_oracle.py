@@ -41,3 +41,10 @@ def test_extracted_symbols_are_those_of_the_table(spark):
     found = queries.queries()["extracted_symbols"](spark, str(DATA)).where("symbol_type <> 'chunk'").select("chunk_id").distinct()
     given = spark.read.parquet(f"{DATA}/code_symbol.parquet").where("symbol_type <> 'chunk'").select("chunk_id").distinct()
     assert given.join(found, "chunk_id", "left_anti").count() == 0
+
+
+def test_extracted_exports_are_those_of_the_table(spark):
+    script = "symbol_type <> 'chunk' and language in ('javascript', 'typescript')"
+    given = spark.read.parquet(f"{DATA}/code_symbol.parquet").where(script).select("chunk_id", "exports").distinct()
+    found = queries.queries()["extracted_symbols"](spark, str(DATA)).select("chunk_id", "exports")
+    assert given.count() > 0 and given.join(found, ["chunk_id", "exports"], "left_anti").count() == 0

@@ -2,6 +2,7 @@ import pytest
 
 from corpusloom.operators import symbols as S
 from corpusloom.operators.members import with_export_flag, with_members
+from corpusloom.plans.ingest import enriched
 
 PYTHON = '''import os
 from .a import b as c
@@ -112,3 +113,29 @@ def test_export_flags(spark):
 def test_unbalanced_is_a_failure():
     with pytest.raises(SyntaxError):
         S.brace_symbols("function f() {", rust=False)
+
+
+def test_all_import_names():
+    names = lambda text, rust=False: S.brace_symbols(text + ("\nfn f() {}\n" if rust else "\nfunction f() {}\n"), rust)[0][10]
+    assert names("import { a, b as c, type D } from 'x';") == ["a", "c", "D"]
+    assert names("import * as n from 'x'\nimport './side'\nimport d, {\n  e, // f\n  default as g,\n} from \"y\";") == ["n", "d", "e", "g"]
+    assert names("import type { T } from 'x'; import h, * as i from 'y'; const j = import('z');") == ["T", "h", "i"]
+    assert names("import type from 'x'; import k = require('y');") == ["type", "k"]
+    assert names("use x::{a, b};\nuse x as y;\npub use p::q::r as s;", True) == ["a", "b", "y", "s"]
+    assert names("use std::{\n    io::{self, Read as R},\n    fmt,\n};\nuse crate::k;", True) == ["io", "R", "fmt", "k"]
+
+
+def test_export_names():
+    names = lambda text: S.brace_symbols(text + "\nfunction f() {}\n", False)[0][12]
+    assert names("export { a, b as c, d as default };\nexport { default as e } from 'x';\nexport * from 'y'; export * as g from 'z';") == ["a", "c", "d", "e", "g"]
+    assert names("export const a = (x, y) => { return [x, y]; }, b = 2;\nexport let { c, d: e, ...h } = o\nexport var [i, , j = 1] = p;") == ["a", "b", "c", "e", "h", "i", "j"]
+    assert names("export const m: Map<string, number> = new Map<string, A, B>(), n = 1\nother(), no") == ["m", "n"]
+    assert names("export async function* a() {}\nexport abstract class B {}\nexport interface C {}\nexport const enum D { x }\nexport type E = { y: 1 };") == ["a", "B", "C", "D", "E"]
+    for text, name in {"A;": "A", "defineConfig({ a: 1 });": "defineConfig", "Vue.extend({})": "Vue.extend", "class P extends Q {}": "P", "async function r() {}": "r", "function () {}": "default_export", "class extends Q {}": "default_export", "{ a: 1 };": "default_export", "x => x;": "default_export", "'text'\nname();": "default_export", "a + b;": "default_export", "/* note */ A\n": "A"}.items():
+        assert names("export default " + text) == [name], text
+
+
+def test_enriched_flags_what_the_file_exports(spark):
+    files = [("r", "a.js", "javascript", "class A {\n  run() {\n  }\n}\nfunction b() {\n}\nfunction c() {\n}\nexport { A, b };\n")]
+    found = enriched(S.symbols(spark.createDataFrame(files, "repo string, file string, language string, text string")))
+    assert {r.symbol_name: r.exported for r in found.collect()} == {"A": True, "A.run": True, "b": True, "c": False}
