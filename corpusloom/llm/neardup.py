@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from corpusloom.sources.stage import materialise
 
 LABEL_BYTES = 8
-#: Equal texts up to which all their pairs are given; beyond it each is paired with the first.
-FULL_COPIES = 1_000
+#: Members of a class that are paired in one piece; larger classes are cut into blocks of about this size.
+BLOCK = 1_000
 _WORD = re.compile(r"[a-z0-9_]+", re.ASCII)
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x27D4EB2F165667C5)]
 KNOWN_WORDS = 1_000_000
@@ -151,23 +151,39 @@ def similar_classes(texts: DataFrame, tenths: int = 7, width: int = 3, least: in
     return members.select("id", "class_id").distinct(), links
 
 
-def similar_pairs(texts: DataFrame, full: int = FULL_COPIES, **how) -> DataFrame:
+def similar_pairs(texts: DataFrame, full: int | None = None, **how) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of different ids whose similarity reaches the threshold.
 
-    All pairs come out, but for copies: a class of more than `full` equal texts is paired with its
-    first id and, through that id, with the classes linked to it, since its square says no more.
+    All pairs come out. Classes of more than BLOCK members are cut into blocks, and every two blocks
+    are paired on their own. With `full`, more than so many copies (ids of byte for byte equal
+    texts) are paired with their first id only, and through that id with everything else.
     """
     members, links = similar_classes(texts, **how)
-    size = members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    sized = members.join(size, "class_id")
-    few, many = sized.where(F.col("n") <= full).where("n > 1"), sized.where(F.col("n") > full)
+    ordered = lambda a, b: (F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))
+    to_first = None
+    if full is not None:
+        copies = texts.groupBy("id").agg(F.sort_array(F.collect_set(F.sha2("text", 256))).alias("copy"))
+        by = members.join(copies, "id")
+        by = by.join(by.groupBy("class_id", "copy").agg(F.count("*").alias("n"), F.min("id").alias("first")), ["class_id", "copy"])
+        to_first = by.where((F.col("n") > full) & (F.col("id") != F.col("first"))).select(*ordered("first", "id"))
+        members = by.where((F.col("n") <= full) | (F.col("id") == F.col("first"))).select("id", "class_id")
+    size = members.groupBy("class_id").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    sized = members.join(size, "class_id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    few, many = sized.where("n > 1 and blocks = 1"), sized.where("blocks > 1")
     equal = few.alias("a").join(few.alias("b"), F.expr("a.class_id = b.class_id and a.id < b.id")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    to_first = many.where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
-    speaking = sized.where((F.col("n") <= full) | (F.col("id") == F.col("first")))
-    x = speaking.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"))
-    y = speaking.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"))
-    linked = links.join(x, "class_a").join(y, "class_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return equal.unionByName(to_first).unionByName(linked)
+    one = many.select("class_id", F.col("id").alias("x"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    other = many.select("class_id", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
+    within = one.join(other, ["class_id", "i", "j"]).where("i < j or x < y").select(*ordered("x", "y"))
+    large = F.broadcast(size.withColumn("blocks", blocks).where("blocks > 1").select("class_id", "blocks"))  # one row per BLOCK ids at most
+    cut = links.select("class_a", "class_b")
+    for side in "ab":
+        cut = cut.join(large.toDF(f"class_{side}", "blocks"), f"class_{side}", "left").withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    x = sized.select(F.col("class_id").alias("class_a"), F.col("block").alias("block_a"), F.col("id").alias("x"))
+    y = sized.select(F.col("class_id").alias("class_b"), F.col("block").alias("block_b"), F.col("id").alias("y"))
+    linked = cut.join(x, ["class_a", "block_a"]).join(y, ["class_b", "block_b"]).select(*ordered("x", "y"))
+    pairs = equal.unionByName(within).unionByName(linked)
+    return pairs if to_first is None else pairs.unionByName(to_first)
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:

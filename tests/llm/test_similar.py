@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import neardup as D
 from corpusloom.llm.neighbours import NeighbourGraph
@@ -49,6 +50,27 @@ def test_many_copies_are_paired_with_the_first(spark):
     assert got == {("c00", f"c{i:02d}") for i in range(1, 12)} | {("c00", "near")}
 
 
+def test_only_byte_equal_copies_are_paired_with_the_first(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"c{i:02d}", " ".join(w.upper() if k == i else w for k, w in enumerate(words))) for i in range(12)] + [("near", " ".join(words) + " end")]
+    got = [(r.id_a, r.id_b) for r in D.similar_pairs(spark.createDataFrame(rows, "id string, text string"), full=10).collect()]
+    assert set(got) == brute(rows) and len(got) == len(set(got)) == 78
+
+
+def test_large_classes_are_paired_in_full(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 5)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"c{i:02d}", text) for i in range(17)] + [(f"d{i}", text + " end") for i in range(8)] + [("b", text + " END of"), ("far", " ".join(f"z{i}" for i in range(40)))]
+    got = [(r.id_a, r.id_b) for r in D.similar_pairs(spark.createDataFrame(rows, "id string, text string")).collect()]
+    assert set(got) == brute(rows) and len(got) == len(set(got)) == 26 * 25 // 2
+
+
+def test_copies_beyond_a_thousand(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.range(1_100).select(F.format_string("c%04d", "id").alias("id"), F.lit(text).alias("text"))
+    assert D.similar_pairs(df).distinct().count() == 1_100 * 1_099 // 2
+
+
 def test_groups_are_components(spark):
     chain = ["x%d" % i for i in range(40)]
     texts = []
