@@ -25,6 +25,8 @@ CELL = 160
 MOST_PIVOTS = 16_384
 #: Neighbours kept in the graph beyond k, as bridges for the next round.
 SPARE = 3
+#: Nodes of a cell at which searches begin.
+ENTRIES = 32
 #: Requested nodes up to which their list is broadcast (16 bytes each); beyond it both sides are shuffled.
 BROADCAST_NODES = 500_000
 _EDGE = "u long, u_home int, u_second int, v long, v_home int, v_second int, sim double"
@@ -127,6 +129,7 @@ class NeighbourGraph:
         rows = _vectors(self.source, self.id, self.vector, self.size, share).groupBy("node").agg(F.first("vec").alias("vec")).orderBy("node").limit(2 * MOST_PIVOTS).collect()
         if not rows:  # a table of few vectors
             rows = _vectors(self.source, self.id, self.vector, self.size).orderBy("node").limit(1).collect()
+        self.pivot_nodes = np.array([r.node for r in rows], np.int64)
         if not rows:
             return np.empty((0, self.size), np.float32)
         return _unit(np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(-1, self.size), np.float32)
@@ -239,3 +242,62 @@ class NeighbourGraph:
         each = best.join(self.members.select(F.col("node").alias("u"), "id"), "u").where("id <> neighbour")
         rank = W.partitionBy("u", "id").orderBy("nth")
         return each.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= self.k).select("id", "neighbour", "similarity", "rank")
+
+    def search(self, queries: DataFrame, k: int | None = None, beam: int | None = None, starts: int = 4) -> DataFrame:
+        """(query_id, id, similarity, rank): the k nearest of each vector of `queries`, by greedy search.
+
+        `queries` has the columns of the graph's table; its vectors need not be in the graph, unusable
+        ones find nothing. Every search begins at the `starts` nearest pivots and a sample of their cells (a
+        graph of clusters has no ways between them), and keeps a list of the
+        `beam` best nodes (4 k unless given); in a round, the neighbours, in either direction, of all that
+        came into the list are compared, until no list gains a node. A row equal to the query is found as well.
+        """
+        k, size = k or self.k, self.size
+        beam = max(k, beam or 4 * k)
+        spark = self.source.sparkSession
+        if not len(self.pivots):
+            return spark.createDataFrame([], "query_id string, id string, similarity double, rank int")
+        shared = spark.sparkContext.broadcast((self.pivots, self.pivot_nodes))
+
+        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pivots, nodes = shared.value
+            for batch in batches:
+                m, _ = _matrix(batch.column(0), size)
+                q, first = np.unique(_hashes(m), return_index=True)
+                if len(q):
+                    m = m[first]
+                    cells = _best(_unit(m, np.float32) @ pivots.T, min(starts, len(pivots)))[:, :starts]
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), _packed(m), pa.array(nodes[cells].tolist(), pa.list_(pa.int64())), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["q", "qvec", "starts", "cells"])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    a, b = (_unit(_unpacked(batch.column(c), size), np.float64) for c in (2, 3))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b))], names=["q", "node", "sim"])
+
+        asked = materialise(queries.where(F.col(self.id).isNotNull()).select(self.vector).mapInArrow(begin, "q long, qvec binary, starts array<long>, cells array<int>").dropDuplicates(["q"]), "knn-asked")
+        back = self.graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim").withColumn("nth", F.row_number().over(W.partitionBy("u").orderBy(F.round("sim", 9).desc(), "v")))
+        ways = materialise(self.graph.select("u", "v").unionByName(back.where(F.col("nth") <= self.keep).select("u", "v")).distinct(), "knn-ways")
+        placed = self.graph.select("u", F.explode(F.array("u_home", "u_second")).alias("cell")).distinct()
+        sample = placed.withColumn("nth", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("u"), "u"))).where(F.col("nth") <= ENTRIES).select("cell", F.col("u").alias("node"))
+        inside = asked.select("q", F.explode("cells").alias("cell")).join(sample, "cell").select("q", "node")
+        new = materialise(asked.select("q", F.explode("starts").alias("node")).unionByName(inside).distinct(), "knn-new")
+        seen, best = new, None
+        by = W.partitionBy("q").orderBy(F.round("sim", 9).desc(), "node")
+        while not new.isEmpty():
+            needed = new.select("node").distinct()
+            vectors = _vectors(self.source, self.id, self.vector, size)
+            sent = vectors.join(F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed, "node").dropDuplicates(["node"])
+            scored = new.join(sent, "node").join(asked.select("q", "qvec"), "q").select("q", "node", "vec", "qvec").mapInArrow(score, "q long, node long, sim double").withColumn("open", F.lit(True))
+            lists = scored if best is None else scored.unionByName(best.withColumn("open", F.lit(False)))
+            best = materialise(lists.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= beam).drop("nth"), "knn-best")
+            onward = best.where("open").select("q", F.col("node").alias("u")).join(ways, "u").select("q", F.col("v").alias("node")).distinct()
+            new = materialise(onward.join(seen, ["q", "node"], "left_anti"), "knn-new")
+            seen = seen.unionByName(new)
+        if best is None:
+            return spark.createDataFrame([], "query_id string, id string, similarity double, rank int")
+        few = self.members.withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy("id"))).where(F.col("nth") <= k).select("node", "id")
+        names = _ids(queries, self.id, self.vector, size).distinct().select(F.col("node").alias("q"), F.col("id").alias("query_id"))
+        rank = W.partitionBy("q").orderBy(F.col("similarity").desc(), "id")
+        near = best.join(few, "node").select("q", "id", F.round("sim", 9).alias("similarity")).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+        return near.join(names, "q").select("query_id", "id", "similarity", "rank")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from corpusloom.llm import credentials, docpairs, handwritten, neardup, packing, personal, syntax, tokens
 from corpusloom.llm.neighbours import NeighbourGraph
@@ -74,6 +75,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.least("id", "neighbour").alias("symbol_id_a"), F.greatest("id", "neighbour").alias("symbol_id_b")).distinct()
 
 
+def p5_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest others of every symbol whose id's hash is divisible by 50, by greedy search in the graph."""
+    rows = table(spark, folder, "indexed_dataset", "symbol_id", "embedding")
+    found = NeighbourGraph(rows).search(rows.where("pmod(xxhash64(symbol_id), 50) = 0"), k=11).where("query_id <> id")
+    order = W.partitionBy("query_id").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("query_id", F.col("id").alias("symbol_id"), "similarity", "rank")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Functions and methods that have real documentation."""
     return docpairs.pairs(_symbols(spark, folder)).select("chunk_id").distinct()

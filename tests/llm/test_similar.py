@@ -147,3 +147,21 @@ def test_graph_other_k(spark, k):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m, strict=True)], "symbol_id string, embedding array<float>")
     got = {(r.id, r.neighbour) for r in NeighbourGraph(df, size=8, k=k, cell=40).neighbours().collect()}
     assert len(got & nearest(ids, m, k)) >= 0.9 * 200 * k
+
+
+def test_greedy_search_of_vectors_outside_the_graph(spark):
+    m = vectors(960)
+    ids = [f"s{i:04d}" for i in range(900)]
+    schema = "symbol_id string, embedding array<float>"
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m[:900], strict=True)], schema)
+    asked = [(f"q{i}", v.tolist()) for i, v in enumerate(m[900:])] + [("nan", [float("nan")] * 24), ("null", None), ("copy", m[5].tolist())]
+    graph = NeighbourGraph(df, size=24, cell=60)
+    rows = graph.search(spark.createDataFrame(asked, schema)).collect()
+    u = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1)[:, None]
+    s = np.round(u[[*range(900, 960), 5]] @ u[:900].T, 9)
+    names = [*(f"q{i}" for i in range(60)), "copy"]
+    want = {(q, ids[j]) for q, row in zip(names, s, strict=True) for j in sorted(range(900), key=lambda j: (-row[j], ids[j]))[:10]}  # noqa: B023
+    got = {(r.query_id, r.id) for r in rows}
+    assert len(rows) == len(got) == 610 and len(got & want) >= 0.95 * len(want)
+    assert [r.id for r in rows if r.query_id == "copy" and r["rank"] == 1] == ["s0005"]
+    assert NeighbourGraph(df.where("false"), size=24).search(df).count() == 0 and graph.search(df.where("false")).count() == 0
