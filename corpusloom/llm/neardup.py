@@ -1,10 +1,10 @@
-"""Near-duplicate records by a MinHash LSH forest with exact verification.
+"""Near-duplicate records by MinHash banding with exact verification.
 
 Texts with equal sets of word sequences form a class; the search runs over classes. Every class
-has a label per tree: eight min-hash bytes in a row, so that a label's leading bytes are a path
-in that tree's prefix trie. Labels that share a path of the needed depth are compared. The depth
-starts at the whole label and is shortened until the share of pairs at the threshold that meet
-in some tree reaches the target. Every pair that meets is verified on its whole sets.
+has a path of min-hash bytes per tree; classes with an equal path in some tree are compared. All
+paths have one depth, the largest up to eight at which pairs at the threshold meet in some tree
+with the target probability; it is computed before any data is read. Every pair that meets is
+verified on its whole sets.
 """
 
 from __future__ import annotations
