@@ -1,9 +1,15 @@
 """The k most similar vectors of every vector, by NN-descent, and greedy search in the graph.
 
-Vectors are first placed in the cells of their two nearest pivots (a sample of the vectors);
-within a cell all are compared. The graph that results is refined by rounds of joins: whoever
-is a neighbour of a neighbour, and was in no common cell, is compared next, until a round
-improves hardly any list. Equal vectors are one node, so that many copies cost no comparisons.
+The descent starts from a forest of random trees: vectors go to the cells of their two nearest
+pivots, and within a cell those that share a small leaf of some tree are linked. Then come rounds
+of joins: every vector's neighbours, in either direction, are compared with each other, as far as
+one of the two links is new; whoever is nearer than a known neighbour takes its place. The rounds
+end when hardly any list changes. Cells only say where a comparison is made: each vector is sent
+once to every cell whose members have it as a neighbour.
+
+Nodes are directions: vectors that differ in length only, or are equal, are one node, so that
+copies cost no comparisons. Nodes are numbered in the order of their smallest ids, so that ties
+are broken by number as they are by id.
 """
 
 from __future__ import annotations
@@ -14,22 +20,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corpusloom.sources.stage import materialise
+from corpusloom.sources.stage import discard, materialise
 
-#: Vectors per pivot, and the most pivots; the sample of pivots is what is broadcast (25 MB at most for 384 numbers).
-CELL = 160
-MOST_PIVOTS = 16_384
-#: Neighbours kept in the graph beyond k, as bridges for the next round.
-SPARE = 3
-#: Nodes of a cell at which searches begin.
-ENTRIES = 32
-#: Requested nodes up to which their list is broadcast (16 bytes each); beyond it both sides are shuffled.
-BROADCAST_NODES = 500_000
-_EDGE = "u long, u_home int, u_second int, v long, v_home int, v_second int, sim double"
+#: Nodes per pivot, and the bound of the sample of pivots (6 MB for 384 numbers), which is all that is broadcast.
+CELL, PIVOTS = 1_000, 4_096
+#: Nodes that are compared in one task; cells of more are cut into parts.
+PART = 16_384
+#: Random trees in a part of a cell, and nodes of a leaf.
+TREES, LEAF = 4, 24
+#: Neighbours kept in the graph beyond k, and new and old neighbours of a node that meet in a round.
+SPARE, MEET = 6, 12
+#: Decimals to which directions are told apart; vectors that agree have similarity 1 to nine decimals.
+DECIMALS = 5
+_LINK = "u long, u_cell long, v long, v_cell long, sim double"
 
 
 def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,16 +53,17 @@ def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(m[good]), at[good]
 
 
-def _unit(m: np.ndarray, kind: type) -> np.ndarray:
+def _unit(m: np.ndarray, kind: type = np.float64) -> np.ndarray:
     m = m.astype(np.float64)
-    m /= np.abs(m).max(axis=1, keepdims=True)  # no square over- or underflows
+    m /= np.abs(m).max(axis=1, keepdims=True, initial=1e-300)  # no square over- or underflows
     m /= np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
     return m.astype(kind)
 
 
-def _hashes(m: np.ndarray) -> np.ndarray:
-    m = m + np.float32(0)  # -0.0 as 0.0
-    return np.fromiter((xxhash.xxh3_64_intdigest(row.tobytes()) - 2**63 for row in m), np.int64, len(m))
+def _directions(m: np.ndarray) -> np.ndarray:
+    """A hash of each vector's direction."""
+    r = np.round(_unit(m), DECIMALS) + 0.0  # -0.0 as 0.0
+    return np.fromiter((xxhash.xxh3_64_intdigest(row.tobytes()) - 2**63 for row in r), np.int64, len(m))
 
 
 def _packed(m: np.ndarray) -> pa.Array:
@@ -67,174 +75,225 @@ def _unpacked(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, size)
 
 
-def _ids(df: DataFrame, id_: str, vector: str, size: int) -> DataFrame:
+def _named(df: DataFrame, id_: str, vector: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, at = _matrix(batch.column(1), size)
-            yield pa.RecordBatch.from_arrays([pa.array(_hashes(m), pa.int64()), batch.column(0).take(pa.array(at, pa.int64()))], names=["node", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(_directions(m), pa.int64()), batch.column(0).take(pa.array(at, pa.int64()))], names=["hash", "id"])
 
-    return df.where(F.col(id_).isNotNull()).select(F.col(id_).cast("string"), vector).mapInArrow(run, "node long, id string")
+    return df.where(F.col(id_).isNotNull()).select(F.col(id_).cast("string"), vector).mapInArrow(run, "hash long, id string")
 
 
 def _vectors(df: DataFrame, id_: str, vector: str, size: int, most: int | None = None) -> DataFrame:
-    """Distinct nodes of each batch with their packed vector; `most` keeps those with the lowest hashes."""
+    """Distinct directions of each batch with a packed vector; `most` keeps those with the lowest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, _ = _matrix(batch.column(0), size)
-            node, first = np.unique(_hashes(m), return_index=True)
+            h, first = np.unique(_directions(m), return_index=True)
             if most is not None:
-                first = first[_chance(node) < most]
-                node = node[_chance(node) < most]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), _packed(m[first])], names=["node", "vec"])
+                kept = ((h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)).astype(np.int64) < most
+                h, first = h[kept], first[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), _packed(m[first])], names=["hash", "vec"])
 
-    return df.where(F.col(id_).isNotNull()).select(vector).mapInArrow(run, "node long, vec binary")
+    return df.where(F.col(id_).isNotNull()).select(vector).mapInArrow(run, "hash long, vec binary")
 
 
-def _chance(node: np.ndarray) -> np.ndarray:
-    """A number below 2**30 that is as good as random for each node."""
-    return ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)).astype(np.int64)
+def _nearest(m: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the n nearest pivots of each row, nearest first."""
+    sims = _unit(m, np.float32) @ pivots.T
+    n = min(n, len(pivots))
+    best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable"), 1)
 
 
-def _best(sims: np.ndarray, k: int) -> np.ndarray:
-    if sims.shape[1] <= k:
-        return np.argsort(-sims, axis=1, kind="stable")
-    return np.argpartition(-sims, k - 1, axis=1)[:, :k]
+def _leaves(m: np.ndarray, leaf: int, rng: np.random.Generator, led: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of m in the leaves of a random tree, and the rows of `led` that the same splits lead there.
+
+    A node is split between two of its rows, and evenly where that is lopsided.
+    """
+    led = m[:0] if led is None else led
+    todo = [(np.arange(len(m)), np.arange(len(led)))]
+    while todo:
+        at, also = todo.pop()
+        if len(at) <= leaf:
+            yield at, also
+            continue
+        a, b = rng.choice(len(at), 2, replace=False)
+        across = m[at[a]] - m[at[b]]
+        side = m[at] @ across
+        right, bound = side > 0, 0.0
+        if min(right.sum(), (~right).sum()) < 0.1 * len(at):
+            order = np.argsort(side, kind="stable")
+            right, bound = np.zeros(len(at), bool), side[order[len(at) // 2]]
+            right[order[len(at) // 2 :]] = True
+        beyond = led[also] @ across > bound
+        todo += [(at[right], also[beyond]), (at[~right], also[~beyond])]
+
+
+def _similarities(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", m[a[i : i + 4096]], m[b[i : i + 4096]]) for i in range(0, max(1, len(a)), 4096)])
+
+
+def _links(node: np.ndarray, cell: np.ndarray, u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.Table:
+    return pa.table({"u": node[u], "u_cell": cell[u], "v": node[v], "v_cell": cell[v], "sim": sim})
 
 
 class NeighbourGraph:
     """k nearest neighbours by cosine similarity of the usable vectors of a table.
 
     Rows with a null id, and vectors that are null, of another length, not finite or all zero take
-    no part. Exact repeats count once; equal vectors under different ids have similarity 1.
-    Nearness is similarity in double precision rounded to nine decimals; among equals the smaller id
-    is nearer. With k or fewer other vectors all are neighbours; an empty table gives none.
+    no part. Exact repeats count once; equal vectors under different ids have similarity 1, and so
+    have vectors of one direction. Nearness is similarity in double precision rounded to nine
+    decimals; among equals the smaller id is nearer. With k or fewer other vectors all are
+    neighbours; an empty table gives none.
     """
 
-    def __init__(self, df: DataFrame, id_: str = "symbol_id", vector: str = "embedding", size: int = 384, k: int = 10, rounds: int = 3, enough: float = 0.001, cell: int = CELL):
+    def __init__(self, df: DataFrame, id_: str = "symbol_id", vector: str = "embedding", size: int = 384, k: int = 10, rounds: int = 12, enough: float = 0.001, cell: int = CELL):
         self.source, self.id, self.vector, self.size, self.k = df, id_, vector, size, k
         self.keep = k + SPARE
-        self.members = materialise(_ids(df, id_, vector, size).distinct(), "knn-members")
-        self.nodes = self.members.select("node").distinct().count()
-        self.pivots = self._pivots(cell)
-        self.graph = self._first()
         self.changed: list[float] = []
+        self._number()
+        self._place(cell)
+        self.graph = self._start()
         for _ in range(rounds):
             if not self._refine() or self.changed[-1] < enough:
                 break
 
-    def _pivots(self, cell: int) -> np.ndarray:
-        wanted = min(MOST_PIVOTS, max(1, math.ceil(self.nodes / cell)))
-        share = min(1 << 30, math.ceil((wanted + 4 * math.sqrt(wanted)) / max(1, self.nodes) * (1 << 30)))
-        rows = _vectors(self.source, self.id, self.vector, self.size, share).groupBy("node").agg(F.first("vec").alias("vec")).orderBy("node").limit(2 * MOST_PIVOTS).collect()
+    def _number(self) -> None:
+        """Numbers the nodes in the order of their smallest ids."""
+        named = materialise(_named(self.source, self.id, self.vector, self.size).distinct(), "knn-named")
+        first = named.groupBy("hash").agg(F.min("id").alias("first")).repartitionByRange("first").sortWithinPartitions("first")
+        self.numbers = materialise(first.select("hash", F.monotonically_increasing_id().alias("node")), "knn-numbers")
+        self.n = self.numbers.count()
+        self.members = materialise(named.join(self.numbers, "hash").select("node", "id"), "knn-members")
+        discard(named)
+
+    def _place(self, cell: int) -> None:
+        """Every node with its vector and its two nearest pivots."""
+        size = self.size
+        wanted = min(PIVOTS, max(1, math.ceil(self.n / cell)))
+        share = min(1 << 30, math.ceil((wanted + 4 * math.sqrt(wanted)) / max(1, self.n) * (1 << 30)))
+        rows = _vectors(self.source, self.id, self.vector, size, share).groupBy("hash").agg(F.first("vec").alias("vec")).orderBy("hash").limit(wanted).collect()
         if not rows:  # a table of few vectors
-            rows = _vectors(self.source, self.id, self.vector, self.size).orderBy("node").limit(1).collect()
-        self.pivot_nodes = np.array([r.node for r in rows], np.int64)
-        if not rows:
-            return np.empty((0, self.size), np.float32)
-        return _unit(np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(-1, self.size), np.float32)
-
-    def _first(self) -> DataFrame:
-        """Compares all vectors within each cell."""
-        size, keep, source, vector = self.size, self.keep, self.source, self.vector
-        if not len(self.pivots):
-            return self.source.sparkSession.createDataFrame([], _EDGE + ", fresh boolean")
+            rows = _vectors(self.source, self.id, self.vector, size).orderBy("hash").limit(1).collect()
+        self.pivots = _unit(np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(-1, size), np.float32)
         shared = self.source.sparkSession.sparkContext.broadcast(self.pivots)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivots = shared.value
-            two = min(2, len(pivots))
             for batch in batches:
-                m, _ = _matrix(batch.column(0), size)
-                node, first = np.unique(_hashes(m), return_index=True)
-                m = m[first]
-                if not len(m):
-                    continue
-                sims = _unit(m, np.float32) @ pivots.T
-                cells = _best(sims, two)
-                order = np.argsort(-np.take_along_axis(sims, cells, 1), axis=1, kind="stable")
-                cells = np.take_along_axis(cells, order, 1).astype(np.int32)
-                home, second = cells[:, 0], cells[:, -1]
-                for nth in range(two):
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[:, nth]), pa.array(node), pa.array(home), pa.array(second), _packed(m)], names=["cell", "node", "home", "second", "vec"])
+                if batch.num_rows:
+                    two = _nearest(_unpacked(batch.column(1), size), shared.value, 2)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(two[:, 0].astype(np.int32)), pa.array(two[:, -1].astype(np.int32)), batch.column(1)], names=["node", "home", "second", "vec"])
+
+        once = _vectors(self.source, self.id, self.vector, size).join(self.numbers, "hash").dropDuplicates(["hash"]).select("node", "vec")
+        self.nodes = materialise(once.mapInArrow(place, "node long, home int, second int, vec binary"), "knn-nodes", bucket="node")
+        counts = self.nodes.select(F.explode(F.array("home", "second")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > PART).collect()  # a row per pivot at most
+        self.parts = {r.cell: math.ceil(r.n / PART) for r in counts}
+
+    def _cell(self, pivot: str) -> Column:
+        """Number of the part of a pivot's cell to which `node` belongs; most cells have one part."""
+        number = F.col(pivot).cast("long") * 2**24
+        if not self.parts:
+            return number
+        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in self.parts.items() for x in kv]), F.col(pivot)), F.lit(1))
+        return number + F.pmod(F.xxhash64("node", pivot), parts)
+
+    def _start(self) -> DataFrame:
+        """Links nodes that share a leaf of a random tree in one of their two cells."""
+        size, keep = self.size, self.keep
+        own, other = self._cell("home"), self._cell("second")
+        placed = self.nodes.select(F.explode(F.array_distinct(F.array(own, other))).alias("cell"), "node", own.alias("own"), "vec")
 
         def compare(cell: pa.Table) -> pa.Table:
-            node, first = np.unique(cell["node"].to_numpy(), return_index=True)
-            at = pa.array(first)
-            m = _unpacked(cell["vec"].take(at), size)
-            home, second = (cell[c].take(at).to_numpy() for c in ("home", "second"))
-            single, double = _unit(m, np.float32), _unit(m, np.float64)
-            out = []
-            for low in range(0, len(node), 1024):
-                rows = np.arange(low, min(low + 1024, len(node)))
-                sims = single[rows] @ single.T
-                sims[np.arange(len(rows)), rows] = -2
-                best = _best(sims, keep + 8)
-                exact = np.einsum("ij,ikj->ik", double[rows], double[best])
-                exact[best == rows[:, None]] = -2
-                top = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
-                u, v = np.repeat(rows, top.shape[1]), np.take_along_axis(best, top, 1).ravel()
-                s = np.take_along_axis(exact, top, 1).ravel()
-                real = s > -1.5
-                out.append((u[real], v[real], s[real]))
-            u, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.table({"u": node[u], "u_home": home[u], "u_second": second[u], "v": node[v], "v_home": home[v], "v_second": second[v], "sim": s})
-
-        cells = source.where(F.col(self.id).isNotNull()).select(vector).mapInArrow(place, "cell int, node long, home int, second int, vec binary")
-        return materialise(self._top(cells.groupBy("cell").applyInArrow(compare, _EDGE).withColumn("fresh", F.lit(True))), "knn-graph")
-
-    def _top(self, edges: DataFrame) -> DataFrame:
-        """The best neighbours of each node; an edge that was known already stays known."""
-        once = edges.groupBy("u", "v").agg(*[F.first(c).alias(c) for c in ("u_home", "u_second", "v_home", "v_second", "sim")], F.min("fresh").alias("fresh"))
+            node, own = cell["node"].to_numpy(), cell["own"].to_numpy()
+            vectors = _unpacked(cell["vec"], size)
+            single, n = _unit(vectors, np.float32), len(node)
+            keys = []
+            for tree in range(TREES):
+                for at, _ in _leaves(single, LEAF, np.random.default_rng([tree, n])):
+                    i, j = np.triu_indices(len(at), 1)
+                    keys.append(np.minimum(at[i], at[j]) * n + np.maximum(at[i], at[j]))
+            keys = np.unique(np.concatenate(keys))
+            u, v = keys // n, keys % n
+            sim = _similarities(single, u, v)
+            u, v, sim = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([sim, sim])
+            order = np.lexsort((-sim, u))
+            u, v = u[order], v[order]
+            near = np.arange(len(u)) - np.searchsorted(u, u) < keep + 4  # single precision
+            u, v = u[near], v[near]
+            return _links(node, own, u, v, _similarities(_unit(vectors), u, v))
+
+        return materialise(self._top(placed.groupBy("cell").applyInArrow(compare, _LINK).withColumn("fresh", F.lit(True))), "knn-graph")
+
+    def _top(self, links: DataFrame) -> DataFrame:
+        """The best neighbours of each node; a link that was known already stays known."""
+        once = links.repartition("u").groupBy("u", "v").agg(*[F.first(c).alias(c) for c in ("u_cell", "v_cell", "sim")], F.min("fresh").alias("fresh"))
         by = W.partitionBy("u").orderBy(F.round("sim", 9).desc(), "v")
-        return once.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= self.keep).select(*[x.split()[0] for x in _EDGE.split(", ")], "fresh")
+        return once.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= self.keep).select(*[x.split()[0] for x in _LINK.split(", ")], "fresh")
+
+    def _both_ways(self, *columns: str) -> DataFrame:
+        """(m, m_cell, x) and `columns`: the graph's links and, of those that lead to m, as many at most as meet in a round."""
+        g = self.graph
+        some = W.partitionBy("v").orderBy(F.col("fresh").desc(), F.xxhash64("u", "v"))
+        back = g.withColumn("nth", F.row_number().over(some)).where(F.col("nth") <= 2 * MEET)
+        ahead = g.select(F.col("u").alias("m"), F.col("u_cell").alias("m_cell"), F.col("v").alias("x"), *columns)
+        return ahead.unionByName(back.select(F.col("v").alias("m"), F.col("v_cell").alias("m_cell"), F.col("u").alias("x"), *columns))
 
     def _refine(self) -> bool:
         """One round over the neighbours of neighbours; False if nothing was left to compare."""
-        size = self.size
-        g = self.graph
-        lists = g.groupBy(F.col("u").alias("m")).agg(F.collect_list(F.struct("v", "v_home", "v_second", "fresh")).alias("list"))
-        ends = ["u", "u_home", "u_second"]
-        apart = "u <> w and u_home <> w_home and u_home <> w_second and u_second <> w_home and u_second <> w_second"
-        onward = g.select(*ends, F.col("v").alias("m"), F.col("fresh").alias("f")).join(lists, "m").select(*ends, "f", F.explode("list").alias("x"))
-        aside = lists.select(F.explode("list").alias("y"), "list").select(F.col("y.v").alias("u"), F.col("y.v_home").alias("u_home"), F.col("y.v_second").alias("u_second"), F.col("y.fresh").alias("f"), F.explode("list").alias("x")).where("u < x.v")
-        met = onward.unionByName(aside).where("f or x.fresh").select(*ends, F.col("x.v").alias("w"), F.col("x.v_home").alias("w_home"), F.col("x.v_second").alias("w_second")).where(apart)
-        low = F.col("u") < F.col("w")
-        pick = lambda a, b, name: F.when(low, F.col(a)).otherwise(F.col(b)).alias(name)
-        pairs = met.select(pick("u", "w", "a"), pick("u_home", "w_home", "a_home"), pick("u_second", "w_second", "a_second"), pick("w", "u", "b"), pick("w_home", "u_home", "b_home"), pick("w_second", "u_second", "b_second"))
-        known = g.where(apart.replace("w", "v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        pairs = materialise(pairs.dropDuplicates(["a", "b"]).join(known, ["a", "b"], "left_anti"), "knn-pairs")
-        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("a_home").alias("cell")).distinct(), "knn-wanted")
-        n = wanted.count()
-        if not n:
+        size, g = self.size, self.graph
+        once = self._both_ways("fresh").repartition("m").groupBy("m", "x").agg(F.first("m_cell").alias("m_cell"), F.max("fresh").alias("fresh"))
+        drawn = once.withColumn("nth", F.row_number().over(W.partitionBy("m", "fresh").orderBy(F.xxhash64("x", "m")))).where(F.col("nth") <= MEET)
+        lists = drawn.groupBy("m").agg(F.first("m_cell").alias("cell"), F.collect_list("x").alias("x"), F.collect_list("fresh").alias("fresh")).where(F.array_contains("fresh", True))
+        lists = materialise(lists, "knn-lists")
+        if lists.isEmpty():
+            discard(lists)
             self.changed.append(0.0)
             return False
-        vectors = _vectors(self.source, self.id, self.vector, size)
-        if n <= BROADCAST_NODES:
-            sent = vectors.join(F.broadcast(wanted), "node")
-        else:
-            sent = vectors.join(wanted, "node")
-
-        def compare(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
-            node, first = np.unique(vectors["node"].to_numpy(), return_index=True)
-            m = _unit(_unpacked(vectors["vec"].take(pa.array(first)), size), np.float64)
-            a, b = (np.searchsorted(node, pairs[c].to_numpy()) for c in ("a", "b"))
-            sim = np.concatenate([np.einsum("ij,ij->i", m[a[i : i + 4096]], m[b[i : i + 4096]]) for i in range(0, max(1, len(a)), 4096)])
-            return pairs.append_column("sim", pa.array(sim)).select(["a", "a_home", "a_second", "b", "b_home", "b_second", "sim"])
-
-        pair_type = "a long, a_home int, a_second int, b long, b_home int, b_second int, sim double"
-        found = pairs.groupBy("a_home").cogroup(sent.groupBy("cell")).applyInArrow(compare, pair_type)
-        there = found.toDF(*[x.split()[0] for x in _EDGE.split(", ")])
-        back = found.select("b", "b_home", "b_second", "a", "a_home", "a_second", "sim").toDF(*there.columns)
-        fresh = there.unionByName(back).withColumn("fresh", F.lit(True))
-        self.graph = materialise(self._top(g.withColumn("fresh", F.lit(False)).unionByName(fresh)), "knn-graph")
-        self.changed.append(self.graph.where("fresh").count() / max(1, self.nodes * self.k))
+        wanted = lists.select("cell", F.explode("x").alias("node")).distinct()
+        worst = g.groupBy(F.col("u").alias("node")).agg(F.min(F.round("sim", 9)).alias("worst"), F.count("*").alias("n")).select("node", F.when(F.col("n") == self.keep, F.col("worst")).otherwise(-2.0).alias("worst"))
+        sent = self.nodes.select("node", self._cell("home").alias("own"), "vec").join(wanted.join(worst, "node"), "node")
+
+        def compare(lists: pa.Table, vectors: pa.Table) -> pa.Table:
+            node, own, worst = (vectors[c].to_numpy() for c in ("node", "own", "worst"))
+            order = np.argsort(node)
+            node, own, worst = node[order], own[order], worst[order]
+            packed = _unpacked(vectors["vec"], size)[order]
+            single, n = np.concatenate([_unit(packed, np.float32), np.zeros((1, size), np.float32)]), len(node)
+            bound = np.append(worst, 9.0) - 1e-6
+            counts = np.array([len(x) for x in lists["x"].to_pylist()], np.int64)
+            met = np.searchsorted(node, np.concatenate(lists["x"].to_numpy())) if len(counts) else np.empty(0, np.int64)
+            new = np.concatenate(lists["fresh"].to_numpy()).astype(bool) if len(counts) else np.empty(0, bool)
+            row, ends = np.repeat(np.arange(len(counts)), counts), np.concatenate([[0], np.cumsum(counts)])
+            at = np.full((len(counts), 2 * MEET), n)
+            fresh = np.zeros(at.shape, bool)
+            nth = np.arange(len(met)) - ends[row]
+            at[row, nth], fresh[row, nth] = met, new
+            upper = np.triu(np.ones((2 * MEET, 2 * MEET), bool), 1)
+            keys = []
+            for low in range(0, len(at), 256):
+                x, f = at[low : low + 256], fresh[low : low + 256]
+                sims = np.matmul(single[x], single[x].transpose(0, 2, 1))
+                better = (sims > bound[x][:, :, None]) | (sims > bound[x][:, None, :])
+                r, i, j = np.nonzero(better & upper & (f[:, :, None] | f[:, None, :]) & (x < n)[:, :, None] & (x < n)[:, None, :])
+                keys.append(np.minimum(x[r, i], x[r, j]) * n + np.maximum(x[r, i], x[r, j]))
+            keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+            a, b = keys // max(1, n), keys % max(1, n)
+            sim = _similarities(_unit(packed), a, b) if len(keys) else np.empty(0)
+            u, v, sim = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sim, sim])
+            near = np.round(sim, 9) >= worst[u]
+            return _links(node, own, u[near], v[near], sim[near])
+
+        found = materialise(lists.groupBy("cell").cogroup(sent.withColumnRenamed("cell", "at").groupBy("at")).applyInArrow(compare, _LINK), "knn-found")
+        self.graph = materialise(self._top(g.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))), "knn-graph")
+        discard(lists, found, g)
+        self.changed.append(self.graph.where("fresh").count() / max(1, self.n * self.k))
         return True
 
     def neighbours(self) -> DataFrame:
         """(id, neighbour, similarity, rank) of every id, copies included."""
-        nearest = W.partitionBy("node").orderBy("id")
-        few = self.members.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= self.k + 1).select("node", "id")
+        few = self.members.withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy("id"))).where(F.col("nth") <= self.k + 1).select("node", "id")
         others = self.graph.select("u", F.col("v").alias("node"), "sim").join(few, "node").select("u", F.col("id").alias("neighbour"), F.round("sim", 9).alias("similarity"))
         own = few.select(F.col("node").alias("u"), F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity"))
         order = W.partitionBy("u").orderBy(F.col("similarity").desc(), "neighbour")
@@ -247,57 +306,88 @@ class NeighbourGraph:
         """(query_id, id, similarity, rank): the k nearest of each vector of `queries`, by greedy search.
 
         `queries` has the columns of the graph's table; its vectors need not be in the graph, unusable
-        ones find nothing. Every search begins at the `starts` nearest pivots and a sample of their cells (a
-        graph of clusters has no ways between them), and keeps a list of the
-        `beam` best nodes (4 k unless given); in a round, the neighbours, in either direction, of all that
-        came into the list are compared, until no list gains a node. A row equal to the query is found as well.
+        ones find nothing. Every search begins in the cells of its `starts` nearest pivots, at the leaves to
+        which their random trees lead it (a graph of clusters has no ways between them), and keeps a
+        list of the `beam` best nodes (2 k unless given); in a round, the neighbours, in either
+        direction, of all that came into the list are compared, until no list gains a node. A row equal to
+        the query is found as well. The queries' vectors are sent to the cells where candidates are,
+        and each candidate's once to its own cell.
         """
         k, size = k or self.k, self.size
-        beam = max(k, beam or 4 * k)
+        beam = max(k, beam or 2 * k)
         spark = self.source.sparkSession
+        none = "query_id string, id string, similarity double, rank int"
         if not len(self.pivots):
-            return spark.createDataFrame([], "query_id string, id string, similarity double, rank int")
-        shared = spark.sparkContext.broadcast((self.pivots, self.pivot_nodes))
+            return spark.createDataFrame([], none)
+        shared = spark.sparkContext.broadcast(self.pivots)
 
         def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivots, nodes = shared.value
             for batch in batches:
                 m, _ = _matrix(batch.column(0), size)
-                q, first = np.unique(_hashes(m), return_index=True)
+                q, first = np.unique(_directions(m), return_index=True)
                 if len(q):
-                    m = m[first]
-                    cells = _best(_unit(m, np.float32) @ pivots.T, min(starts, len(pivots)))[:, :starts]
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), _packed(m), pa.array(nodes[cells].tolist(), pa.list_(pa.int64())), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["q", "qvec", "starts", "cells"])
+                    cells = _nearest(m[first], shared.value, starts)
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), _packed(m[first]), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["q", "qvec", "homes"])
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    a, b = (_unit(_unpacked(batch.column(c), size), np.float64) for c in (2, 3))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b))], names=["q", "node", "sim"])
-
-        asked = materialise(queries.where(F.col(self.id).isNotNull()).select(self.vector).mapInArrow(begin, "q long, qvec binary, starts array<long>, cells array<int>").dropDuplicates(["q"]), "knn-asked")
-        back = self.graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim").withColumn("nth", F.row_number().over(W.partitionBy("u").orderBy(F.round("sim", 9).desc(), "v")))
-        ways = materialise(self.graph.select("u", "v").unionByName(back.where(F.col("nth") <= self.keep).select("u", "v")).distinct(), "knn-ways")
-        placed = self.graph.select("u", F.explode(F.array("u_home", "u_second")).alias("cell")).distinct()
-        sample = placed.withColumn("nth", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("u"), "u"))).where(F.col("nth") <= ENTRIES).select("cell", F.col("u").alias("node"))
-        inside = asked.select("q", F.explode("cells").alias("cell")).join(sample, "cell").select("q", "node")
-        new = materialise(asked.select("q", F.explode("starts").alias("node")).unionByName(inside).distinct(), "knn-new")
-        seen, best = new, None
+        def scored(asks: pa.Table, node: np.ndarray, row: np.ndarray, at: np.ndarray, m: np.ndarray, most: int | None = None) -> pa.Table:
+            """Candidates (row of asks, row of m) with their similarities; of each ask only the `most` nearest."""
+            q = _unit(_unpacked(asks["qvec"], size))
+            sim = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", q[row[i : i + 4096]], m[at[i : i + 4096]]) for i in range(0, len(row), 4096))])
+            if most is not None:
+                order = np.lexsort((node[at], -np.round(sim, 9), row))
+                row, at, sim = row[order], at[order], sim[order]
+                near = np.arange(len(row)) - np.searchsorted(row, row) < most
+                row, at, sim = row[near], at[near], sim[near]
+            cell = asks["cell"][0].as_py() if len(asks) else 0
+            return pa.table({"q": asks["q"].to_numpy()[row], "cell": np.full(len(row), cell, np.int64), "node": node[at], "sim": sim})
+
+        def enter(asks: pa.Table, vectors: pa.Table) -> pa.Table:
+            m, q = (_unit(_unpacked(t, size)) for t in (vectors["vec"], asks["qvec"]))
+            keys = [np.empty(0, np.int64)]
+            for tree in range(2 * TREES if len(asks) and len(vectors) else 0):
+                for at, also in _leaves(m, LEAF, np.random.default_rng([tree, len(m)]), q):
+                    keys.append((also[:, None] * len(m) + at).ravel())
+            keys = np.unique(np.concatenate(keys))
+            return scored(asks, vectors["node"].to_numpy(), keys // max(1, len(m)), keys % max(1, len(m)), m, beam)
+
+        def step(asks: pa.Table, vectors: pa.Table) -> pa.Table:
+            node = vectors["node"].to_numpy()
+            order = np.argsort(node)
+            lists = asks["nodes"].to_pylist()
+            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            at = np.searchsorted(node[order], np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64))
+            return scored(asks, node[order], row, at, _unit(_unpacked(vectors["vec"], size)[order]))
+
+        kind = "q long, cell long, node long, sim double"
+        asked = materialise(queries.where(F.col(self.id).isNotNull()).select(self.vector).mapInArrow(begin, "q long, qvec binary, homes array<int>").dropDuplicates(["q"]), "knn-asked")
+        ways = self._both_ways("v_cell", "u_cell").select("m", "x", F.when(F.col("m_cell") == F.col("u_cell"), F.col("v_cell")).otherwise(F.col("u_cell")).alias("cell"))
+        ways = materialise(ways.dropDuplicates(["m", "x"]), "knn-ways")
+        cells = self.nodes.select("home", self._cell("home").alias("cell")).distinct()
+        asks = asked.select("q", "qvec", F.explode("homes").alias("home")).join(cells, "home").select("cell", "q", "qvec")
+        sent = self.nodes.select(self._cell("home").alias("at"), "node", "vec")
+        new = asks.groupBy("cell").cogroup(sent.groupBy("at")).applyInArrow(enter, kind)
+        seen, best, old = [], None, []
         by = W.partitionBy("q").orderBy(F.round("sim", 9).desc(), "node")
-        while not new.isEmpty():
-            needed = new.select("node").distinct()
-            vectors = _vectors(self.source, self.id, self.vector, size)
-            sent = vectors.join(F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed, "node").dropDuplicates(["node"])
-            scored = new.join(sent, "node").join(asked.select("q", "qvec"), "q").select("q", "node", "vec", "qvec").mapInArrow(score, "q long, node long, sim double").withColumn("open", F.lit(True))
-            lists = scored if best is None else scored.unionByName(best.withColumn("open", F.lit(False)))
+        while True:
+            lists = new.withColumn("open", F.lit(True))
+            lists = lists if best is None else lists.unionByName(best.withColumn("open", F.lit(False)))
             best = materialise(lists.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= beam).drop("nth"), "knn-best")
-            onward = best.where("open").select("q", F.col("node").alias("u")).join(ways, "u").select("q", F.col("v").alias("node")).distinct()
-            new = materialise(onward.join(seen, ["q", "node"], "left_anti"), "knn-new")
-            seen = seen.unionByName(new)
-        if best is None:
-            return spark.createDataFrame([], "query_id string, id string, similarity double, rank int")
+            discard(*old)
+            seen = seen or [best.select("q", "node")]
+            onward = best.where("open").select("q", F.col("node").alias("m")).join(ways, "m").select("q", F.col("x").alias("node"), "cell").distinct()
+            known = seen[0]
+            for more in seen[1:]:
+                known = known.unionByName(more)
+            wanted = materialise(onward.join(known, ["q", "node"], "left_anti"), "knn-wanted")
+            if wanted.isEmpty():
+                break
+            old = [best] if len(seen) > 1 else []  # the first list is still read as seen
+            seen.append(wanted.select("q", "node"))
+            asks = wanted.groupBy("cell", "q").agg(F.collect_list("node").alias("nodes")).join(asked.select("q", "qvec"), "q")
+            sent = self.nodes.select("node", "vec").join(wanted.select("node", F.col("cell").alias("at")).distinct(), "node")
+            new = asks.groupBy("cell").cogroup(sent.groupBy("at")).applyInArrow(step, kind)
         few = self.members.withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy("id"))).where(F.col("nth") <= k).select("node", "id")
-        names = _ids(queries, self.id, self.vector, size).distinct().select(F.col("node").alias("q"), F.col("id").alias("query_id"))
+        names = _named(queries, self.id, self.vector, size).distinct().select(F.col("hash").alias("q"), F.col("id").alias("query_id"))
         rank = W.partitionBy("q").orderBy(F.col("similarity").desc(), "id")
         near = best.join(few, "node").select("q", "id", F.round("sim", 9).alias("similarity")).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
         return near.join(names, "q").select("query_id", "id", "similarity", "rank")

@@ -165,3 +165,30 @@ def test_greedy_search_of_vectors_outside_the_graph(spark):
     assert len(rows) == len(got) == 610 and len(got & want) >= 0.95 * len(want)
     assert [r.id for r in rows if r.query_id == "copy" and r["rank"] == 1] == ["s0005"]
     assert NeighbourGraph(df.where("false"), size=24).search(df).count() == 0 and graph.search(df.where("false")).count() == 0
+
+
+def test_vectors_of_one_direction_tie_by_id(spark):
+    rng = np.random.default_rng(8)
+    m = np.concatenate([np.outer(rng.uniform(0.1, 9, 60), rng.normal(size=12)), rng.normal(size=(300, 12))]).astype(np.float32)
+    ids = [f"s{i:03d}" for i in rng.permutation(len(m))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m, strict=True)], "symbol_id string, embedding array<float>")
+    got = {(r.id, r.neighbour) for r in NeighbourGraph(df, size=12, cell=100).neighbours().collect()}
+    want = nearest(ids, m, 10)
+    copies = set(ids[:60])
+    assert {x for x in want if x[0] in copies} == {x for x in got if x[0] in copies} and len(got) == len(want)
+    assert len(got & want) >= 0.98 * len(want)
+
+
+def test_cells_are_cut_into_parts(spark, monkeypatch):
+    import corpusloom.llm.neighbours as N
+
+    monkeypatch.setattr(N, "PART", 80)
+    m = vectors(600)
+    ids = [f"s{i:04d}" for i in range(len(m))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m, strict=True)], "symbol_id string, embedding array<float>")
+    graph = NeighbourGraph(df, size=24, cell=300)
+    assert graph.parts
+    got = {(r.id, r.neighbour) for r in graph.neighbours().collect()}
+    assert len(got & nearest(ids, m, 10)) >= 0.95 * 6000
+    found = graph.search(df.limit(40), k=1).collect()
+    assert all(r.id == r.query_id for r in found) and len(found) == 40
