@@ -20,20 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpusloom.sources.stage import discard, materialise
 
-#: Nodes per pivot, and the bound of the sample of pivots (6 MB for 384 numbers), which is all that is broadcast.
-CELL, PIVOTS = 1_000, 4_096
-#: Nodes that are compared in one task; cells of more are cut into parts.
+#: Pivots, a random sample of the nodes; they and a row for each two of them are all that is broadcast, whatever the table's size.
+PIVOTS = 64
+#: Nodes that are compared in one task; cells of more are cut into parts, by the other of their nodes' two pivots as far as that goes.
 PART = 16_384
 #: Random trees in a part of a cell, and nodes of a leaf.
-TREES, LEAF = 4, 24
+TREES, LEAF = 6, 24
 #: Neighbours kept in the graph beyond k, and new and old neighbours of a node that meet in a round.
-SPARE, MEET = 6, 12
+SPARE, MEET = 5, 10
 #: Decimals to which directions are told apart; vectors that agree have similarity 1 to nine decimals.
 DECIMALS = 5
 _LINK = "u long, u_cell long, v long, v_cell long, sim double"
@@ -132,7 +132,12 @@ def _leaves(m: np.ndarray, leaf: int, rng: np.random.Generator, led: np.ndarray
 
 
 def _similarities(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.einsum("ij,ij->i", m[a[i : i + 4096]], m[b[i : i + 4096]]) for i in range(0, max(1, len(a)), 4096)])
+    """Cosines of rows a and b of m in double precision."""
+    norms, out = np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64)), [np.empty(0)]
+    for i in range(0, len(a), 4096):
+        x, y = a[i : i + 4096], b[i : i + 4096]
+        out.append(np.einsum("ij,ij->i", m[x].astype(np.float64), m[y].astype(np.float64)) / (norms[x] * norms[y]))
+    return np.concatenate(out)
 
 
 def _links(node: np.ndarray, cell: np.ndarray, u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.Table:
@@ -149,30 +154,30 @@ class NeighbourGraph:
     neighbours; an empty table gives none.
     """
 
-    def __init__(self, df: DataFrame, id_: str = "symbol_id", vector: str = "embedding", size: int = 384, k: int = 10, rounds: int = 12, enough: float = 0.001, cell: int = CELL):
+    def __init__(self, df: DataFrame, id_: str = "symbol_id", vector: str = "embedding", size: int = 384, k: int = 10, rounds: int = 12, enough: float = 0.003, pivots: int = PIVOTS):
         self.source, self.id, self.vector, self.size, self.k = df, id_, vector, size, k
         self.keep = k + SPARE
         self.changed: list[float] = []
         self._number()
-        self._place(cell)
+        self._place(pivots)
         self.graph = self._start()
         for _ in range(rounds):
             if not self._refine() or self.changed[-1] < enough:
                 break
 
     def _number(self) -> None:
-        """Numbers the nodes in the order of their smallest ids."""
-        named = materialise(_named(self.source, self.id, self.vector, self.size).distinct(), "knn-named")
-        first = named.groupBy("hash").agg(F.min("id").alias("first")).repartitionByRange("first").sortWithinPartitions("first")
-        self.numbers = materialise(first.select("hash", F.monotonically_increasing_id().alias("node")), "knn-numbers")
+        """Numbers the ids in their order; a node has the smallest number of its ids."""
+        named = _named(self.source, self.id, self.vector, self.size).distinct().repartitionByRange("id").sortWithinPartitions("id")
+        named = materialise(named.withColumn("number", F.monotonically_increasing_id()), "knn-named")
+        self.numbers = materialise(named.groupBy("hash").agg(F.min("number").alias("node")), "knn-numbers")
         self.n = self.numbers.count()
-        self.members = materialise(named.join(self.numbers, "hash").select("node", "id"), "knn-members")
+        self.members = materialise(named.join(self.numbers, "hash").select("node", "number", "id"), "knn-members")
         discard(named)
 
-    def _place(self, cell: int) -> None:
+    def _place(self, pivots: int) -> None:
         """Every node with its vector and its two nearest pivots."""
         size = self.size
-        wanted = min(PIVOTS, max(1, math.ceil(self.n / cell)))
+        wanted = pivots
         share = min(1 << 30, math.ceil((wanted + 4 * math.sqrt(wanted)) / max(1, self.n) * (1 << 30)))
         rows = _vectors(self.source, self.id, self.vector, size, share).groupBy("hash").agg(F.first("vec").alias("vec")).orderBy("hash").limit(wanted).collect()
         if not rows:  # a table of few vectors
@@ -188,22 +193,34 @@ class NeighbourGraph:
 
         once = _vectors(self.source, self.id, self.vector, size).join(self.numbers, "hash").dropDuplicates(["hash"]).select("node", "vec")
         self.nodes = materialise(once.mapInArrow(place, "node long, home int, second int, vec binary"), "knn-nodes", bucket="node")
-        counts = self.nodes.select(F.explode(F.array("home", "second")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > PART).collect()  # a row per pivot at most
-        self.parts = {r.cell: math.ceil(r.n / PART) for r in counts}
-
-    def _cell(self, pivot: str) -> Column:
-        """Number of the part of a pivot's cell to which `node` belongs; most cells have one part."""
-        number = F.col(pivot).cast("long") * 2**24
-        if not self.parts:
-            return number
-        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in self.parts.items() for x in kv]), F.col(pivot)), F.lit(1))
-        return number + F.pmod(F.xxhash64("node", pivot), parts)
+        counts = self.nodes.groupBy("home", "second").agg(F.count("*").alias("n")).collect()  # a row for two pivots at most
+        self.parts = self._cut([(r.home, r.second, r.n) for r in counts] + [(r.second, r.home, r.n) for r in counts])
+
+    def _cut(self, counts: list[tuple[int, int, int]]) -> DataFrame:
+        """(pivot, other, first, n): of the nodes near two pivots, the parts of the pivot's cell to which they belong."""
+        rows, at, last, room = [], -1, -1, 0
+        for pivot, other in sorted({(p, o) for p, o, _ in counts}):
+            n = sum(x for p, o, x in counts if (p, o) == (pivot, other))
+            if pivot != last or n > room:
+                at, last, room = 0 if pivot != last else at + 1, pivot, PART
+            several = math.ceil(n / PART)
+            rows.append((pivot, other, pivot * 2**24 + at, several))
+            at, room = at + several - 1, room - n if several == 1 else 0
+        return self.source.sparkSession.createDataFrame(rows, "pivot int, other int, first long, n int")
+
+    def _placed(self, *columns: str) -> DataFrame:
+        """The nodes with the part `own` of their nearest pivot's cell, and the part `next` of the second's."""
+        out = self.nodes.select("node", "home", "second", *columns)
+        for pivot, other, name in (("home", "second", "own"), ("second", "home", "next")):
+            cut = F.broadcast(self.parts.toDF(pivot, other, "first", "n"))
+            part = (F.col("first") + F.pmod(F.xxhash64("node", pivot), F.col("n"))).alias(name)
+            out = out.join(cut, [pivot, other]).select("node", "home", "second", *columns, *(["own"] if name == "next" else []), part)
+        return out
 
     def _start(self) -> DataFrame:
         """Links nodes that share a leaf of a random tree in one of their two cells."""
         size, keep = self.size, self.keep
-        own, other = self._cell("home"), self._cell("second")
-        placed = self.nodes.select(F.explode(F.array_distinct(F.array(own, other))).alias("cell"), "node", own.alias("own"), "vec")
+        placed = self._placed("vec").select(F.explode(F.array_distinct(F.array("own", "next"))).alias("cell"), "node", "own", "vec")
 
         def compare(cell: pa.Table) -> pa.Table:
             node, own = cell["node"].to_numpy(), cell["own"].to_numpy()
@@ -216,13 +233,13 @@ class NeighbourGraph:
                     keys.append(np.minimum(at[i], at[j]) * n + np.maximum(at[i], at[j]))
             keys = np.unique(np.concatenate(keys))
             u, v = keys // n, keys % n
-            sim = _similarities(single, u, v)
+            sim = np.concatenate([np.einsum("ij,ij->i", single[u[i : i + 4096]], single[v[i : i + 4096]]) for i in range(0, max(1, len(u)), 4096)])
             u, v, sim = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([sim, sim])
             order = np.lexsort((-sim, u))
             u, v = u[order], v[order]
-            near = np.arange(len(u)) - np.searchsorted(u, u) < keep + 4  # single precision
+            near = np.arange(len(u)) - np.searchsorted(u, u) < keep + 2  # single precision
             u, v = u[near], v[near]
-            return _links(node, own, u, v, _similarities(_unit(vectors), u, v))
+            return _links(node, own, u, v, _similarities(vectors, u, v))
 
         return materialise(self._top(placed.groupBy("cell").applyInArrow(compare, _LINK).withColumn("fresh", F.lit(True))), "knn-graph")
 
@@ -253,7 +270,7 @@ class NeighbourGraph:
             return False
         wanted = lists.select("cell", F.explode("x").alias("node")).distinct()
         worst = g.groupBy(F.col("u").alias("node")).agg(F.min(F.round("sim", 9)).alias("worst"), F.count("*").alias("n")).select("node", F.when(F.col("n") == self.keep, F.col("worst")).otherwise(-2.0).alias("worst"))
-        sent = self.nodes.select("node", self._cell("home").alias("own"), "vec").join(wanted.join(worst, "node"), "node")
+        sent = self._placed("vec").select("node", "own", "vec").join(wanted.join(worst, "node").hint("shuffle_hash"), "node")
 
         def compare(lists: pa.Table, vectors: pa.Table) -> pa.Table:
             node, own, worst = (vectors[c].to_numpy() for c in ("node", "own", "worst"))
@@ -280,7 +297,7 @@ class NeighbourGraph:
                 keys.append(np.minimum(x[r, i], x[r, j]) * n + np.maximum(x[r, i], x[r, j]))
             keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
             a, b = keys // max(1, n), keys % max(1, n)
-            sim = _similarities(_unit(packed), a, b) if len(keys) else np.empty(0)
+            sim = _similarities(packed, a, b)
             u, v, sim = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sim, sim])
             near = np.round(sim, 9) >= worst[u]
             return _links(node, own, u[near], v[near], sim[near])
@@ -291,16 +308,29 @@ class NeighbourGraph:
         self.changed.append(self.graph.where("fresh").count() / max(1, self.n * self.k))
         return True
 
+    def _near(self) -> DataFrame:
+        """(number, other, similarity, rank): the nearest of every id, by numbers."""
+        few = self.members.withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy("number"))).where(F.col("nth") <= self.k + 1).select("node", F.col("number").alias("other"))
+        others = self.graph.select("u", F.col("v").alias("node"), F.round("sim", 9).alias("similarity")).join(few, "node").select("u", "other", "similarity")
+        own = few.select(F.col("node").alias("u"), "other", F.lit(1.0).alias("similarity"))
+        order = W.partitionBy("u").orderBy(F.col("similarity").desc(), "other")
+        best = others.unionByName(own).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= self.k + 1)
+        each = best.join(self.members.select(F.col("node").alias("u"), "number"), "u").where("number <> other")
+        return each.withColumn("rank", F.row_number().over(W.partitionBy("u", "number").orderBy("nth"))).where(F.col("rank") <= self.k).select("number", "other", "similarity", "rank")
+
     def neighbours(self) -> DataFrame:
         """(id, neighbour, similarity, rank) of every id, copies included."""
-        few = self.members.withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy("id"))).where(F.col("nth") <= self.k + 1).select("node", "id")
-        others = self.graph.select("u", F.col("v").alias("node"), "sim").join(few, "node").select("u", F.col("id").alias("neighbour"), F.round("sim", 9).alias("similarity"))
-        own = few.select(F.col("node").alias("u"), F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity"))
-        order = W.partitionBy("u").orderBy(F.col("similarity").desc(), "neighbour")
-        best = others.unionByName(own).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= self.k + 1)
-        each = best.join(self.members.select(F.col("node").alias("u"), "id"), "u").where("id <> neighbour")
-        rank = W.partitionBy("u", "id").orderBy("nth")
-        return each.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= self.k).select("id", "neighbour", "similarity", "rank")
+        return self._with_ids(self._near(), number="id", other="neighbour").select("id", "neighbour", "similarity", "rank")
+
+    def pairs(self) -> DataFrame:
+        """(id_a, id_b), id_a < id_b: of the two ids, one is among the nearest of the other."""
+        pairs = materialise(self._near().select(F.least("number", "other").alias("a"), F.greatest("number", "other").alias("b")).distinct(), "knn-links")
+        return self._with_ids(pairs, a="id_a", b="id_b").select("id_a", "id_b")
+
+    def _with_ids(self, df: DataFrame, **names: str) -> DataFrame:
+        for number, name in names.items():
+            df = df.join(self.members.select(F.col("number").alias(number), F.col("id").alias(name)), number)
+        return df
 
     def search(self, queries: DataFrame, k: int | None = None, beam: int | None = None, starts: int = 4) -> DataFrame:
         """(query_id, id, similarity, rank): the k nearest of each vector of `queries`, by greedy search.
@@ -362,9 +392,9 @@ class NeighbourGraph:
         asked = materialise(queries.where(F.col(self.id).isNotNull()).select(self.vector).mapInArrow(begin, "q long, qvec binary, homes array<int>").dropDuplicates(["q"]), "knn-asked")
         ways = self._both_ways("v_cell", "u_cell").select("m", "x", F.when(F.col("m_cell") == F.col("u_cell"), F.col("v_cell")).otherwise(F.col("u_cell")).alias("cell"))
         ways = materialise(ways.dropDuplicates(["m", "x"]), "knn-ways")
-        cells = self.nodes.select("home", self._cell("home").alias("cell")).distinct()
-        asks = asked.select("q", "qvec", F.explode("homes").alias("home")).join(cells, "home").select("cell", "q", "qvec")
-        sent = self.nodes.select(self._cell("home").alias("at"), "node", "vec")
+        cells = self.parts.select(F.col("pivot").alias("home"), F.explode(F.expr("sequence(first, first + n - 1)")).alias("cell")).distinct()
+        asks = asked.select("q", "qvec", F.explode("homes").alias("home")).join(F.broadcast(cells), "home").select("cell", "q", "qvec")
+        sent = self._placed("vec").select(F.col("own").alias("at"), "node", "vec")
         new = asks.groupBy("cell").cogroup(sent.groupBy("at")).applyInArrow(enter, kind)
         seen, best, old = [], None, []
         by = W.partitionBy("q").orderBy(F.round("sim", 9).desc(), "node")

@@ -71,8 +71,7 @@ def _problems(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of symbols of which one is among the 10 nearest of the other."""
-    found = NeighbourGraph(table(spark, folder, "indexed_dataset", "symbol_id", "embedding")).neighbours()
-    return found.select(F.least("id", "neighbour").alias("symbol_id_a"), F.greatest("id", "neighbour").alias("symbol_id_b")).distinct()
+    return NeighbourGraph(table(spark, folder, "indexed_dataset", "symbol_id", "embedding")).pairs().toDF("symbol_id_a", "symbol_id_b")
 
 
 def p5_search(spark: SparkSession, folder: str) -> DataFrame:
