@@ -1,10 +1,13 @@
-"""Near-duplicate records by MinHash banding with exact verification.
-
-Texts with equal sets of word sequences form a class; the search runs over classes. Every class
-has a path of min-hash bytes per tree; classes with an equal path in some tree are compared. All
-paths have one depth, the largest up to eight at which pairs at the threshold meet in some tree
-with the target probability; it is computed before any data is read. Every pair that meets is
-verified on its whole sets.
+"""Near-duplicate records by an LSH forest of MinHash labels with exact verification.
+
+Texts with equal sets of word sequences form a class; the search runs over classes. In every tree
+a class has a label of min-hash bytes; the labels of a tree, sorted, are a prefix trie. Classes
+that share a long prefix in some tree are compared first, on their whole sets. What is found says
+how much is still missing: a pair of similarity s shares a prefix of d bytes in one of the trees
+with a known probability, so that every pair found stands for one through that probability. The
+prefixes are shortened byte by byte until the share found reaches the target. Places where more
+than CROWD classes share a prefix are not compared all with all there; their classes are joined
+exactly, on their rarest sequences.
 """
 
 from __future__ import annotations
@@ -17,10 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from corpusloom.sources.stage import materialise
+from corpusloom.sources.stage import discard, materialise
 
-LABEL_BYTES = 8
+#: Bytes of a label, with which the search begins.
+DEEPEST = 6
+#: Classes that share a prefix and are still compared all with all.
+CROWD = 500
 #: Members of a class that are paired in one piece; larger classes are cut into blocks of about this size.
 BLOCK = 1_000
 _WORD = re.compile(r"[a-z0-9_]+", re.ASCII)
@@ -56,21 +63,27 @@ def sequences(text: str | None, width: int, least: int) -> np.ndarray | None:
 
 
 class Forest:
-    """Labels of a set in every tree, and the depth at which labels are compared."""
-
-    def __init__(self, threshold: float, trees: int = 40, target: float = 0.999, seed: int = 5):
-        self.trees = trees
-        depth = LABEL_BYTES
-        meet = threshold + (1 - threshold) / 256  # unequal minima share their byte by chance
-        while depth > 1 and 1 - (1 - meet**depth) ** trees < target:
-            depth -= 1
-        self.depth = depth
+    """Labels of a set in every tree, and the depths between which prefixes are shortened."""
+
+    def __init__(self, threshold: float, trees: int = 32, target: float = 0.999, seed: int = 5):
+        self.threshold, self.trees, self.target = threshold, trees, target
+        self.shallowest = DEEPEST
+        while self.shallowest > 1 and self.met(threshold, self.shallowest) < target:
+            self.shallowest -= 1
         rng = np.random.default_rng(seed)
-        self.a = rng.integers(1, 2**32, trees * depth, dtype=np.uint32) | np.uint32(1)
-        self.b = rng.integers(0, 2**32, trees * depth, dtype=np.uint32)
+        self.a = rng.integers(1, 2**32, trees * DEEPEST, dtype=np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 2**32, trees * DEEPEST, dtype=np.uint32)
+
+    def met(self, similarity: float, depth: int) -> float:
+        """Probability that two sets of a similarity share a prefix of `depth` bytes in some tree."""
+        same = similarity + (1 - similarity) / 256  # unequal minima share their byte by chance
+        return 1 - (1 - same**depth) ** self.trees
+
+    def met_column(self, similarity: Column, depth: int) -> Column:
+        return 1 - F.pow(1 - F.pow(similarity + (1 - similarity) / 256, F.lit(depth)), F.lit(self.trees))
 
     def labels(self, hashes: np.ndarray) -> np.ndarray:
-        """One 64-bit path of `depth` bytes per tree."""
+        """One label per tree, its bytes from the highest down in a 64-bit number."""
         x = (hashes >> np.uint64(32)).astype(np.uint32)
         low = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         for at in range(0, len(x), 2048):
@@ -79,20 +92,25 @@ class Forest:
             part ^= part >> np.uint32(15)
             np.minimum(low, part.min(axis=0), out=low)
         low = (low * np.uint32(0x85EBCA6B)) >> np.uint32(24)
-        paths = low.reshape(self.trees, self.depth).astype(np.uint64)
+        paths = low.reshape(self.trees, DEEPEST).astype(np.uint64)
         out = np.zeros(self.trees, np.uint64)
-        for k in range(self.depth):
-            out = (out << np.uint64(8)) | paths[:, k]
+        for k in range(DEEPEST):
+            out |= paths[:, k] << np.uint64(56 - 8 * k)
         return out.astype(np.int64)
 
 
+def prefix(label: str, depth: int) -> Column:
+    """The first `depth` bytes of a label."""
+    return F.shiftrightunsigned(label, 64 - 8 * depth)
+
+
 def text_of(content: str = "content", instead: str = "retrieval_text") -> Column:
     """The compared text: `content`, or `instead` where content is null or blank."""
     return F.when(F.col(content).rlike(r"[^\s\p{Z}\x{1c}-\x{1f}\x{85}]"), F.col(content)).otherwise(F.col(instead))
 
 
 def signed(texts: DataFrame, width: int, least: int, forest: Forest) -> DataFrame:
-    """(id, text) as (id, class_id, paths); texts of too few words are left out by definition."""
+    """(id, text) as (id, class_id, paths), a label per tree; texts of too few words are left out by definition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,32 +141,79 @@ def _with_sequences(texts: DataFrame, width: int, least: int) -> DataFrame:
     return texts.mapInArrow(run, "class_id long, seqs array<long>")
 
 
-def similar_classes(texts: DataFrame, tenths: int = 7, width: int = 3, least: int = 30, trees: int = 40, target: float = 0.999) -> tuple[DataFrame, DataFrame]:
+def similar_classes(texts: DataFrame, tenths: int = 7, width: int = 3, least: int = 30, trees: int = 32, target: float = 0.999) -> tuple[DataFrame, DataFrame]:
     """Members (id, class_id) and links (class_a, class_b, shared, total) of different classes.
 
     `texts` holds (id, text); exact repeats count once. Similarity is shared / total distinct sequences of `width`
     words and at least tenths/10 for every link; equal sets form one class. Texts of fewer than
-    `least` words, null ones among them, are in neither result. Links are found with
-    probability `target` at the threshold and more above it.
+    `least` words, null ones among them, are in neither result. Prefixes are shortened until the
+    estimated share of the links that were found is `target`, and at most to the depth at which every
+    link has that probability by itself; links within crowded places are all found.
     """
     forest = Forest(tenths / 10, trees, target)
-    members = materialise(signed(texts, width, least, forest), "neardup-members")
-    classes = members.groupBy("class_id").agg(F.min("id").alias("id"), F.first("paths").alias("paths"))
-    paths = classes.select("class_id", F.posexplode("paths").alias("tree", "path")).select("class_id", F.xxhash64("tree", "path").alias("bucket"))
-    # most paths lead to one class only: those are dropped before any pair is made
-    met = paths.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("n > 1")
-    two = met.where("n = 2").select(F.col("low").alias("class_a"), F.col("high").alias("class_b"))
-    many = paths.join(met.where("n > 2").select("bucket"), "bucket")
-    more = many.alias("x").join(many.alias("y"), F.expr("x.bucket = y.bucket and x.class_id < y.class_id")).select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b"))
-    pairs = materialise(two.unionByName(more).distinct(), "neardup-pairs")
-    named = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
-    wanted = named.join(classes.select("class_id", "id"), "class_id")
-    once = wanted.join(texts, "id").dropDuplicates(["class_id"]).select("class_id", "text")
-    sets = materialise(_with_sequences(once, width, least), "neardup-sets")
+    signed_ = materialise(signed(texts, width, least, forest), "neardup-signed")
+    members = materialise(signed_.select("id", "class_id").distinct(), "neardup-members")
+    classes = signed_.groupBy("class_id").agg(F.min("id").alias("id"), F.first("paths").alias("paths"))
+    labels = classes.select("class_id", F.posexplode("paths").alias("tree", "label")).select(F.xxhash64("tree", prefix("label", forest.shallowest)).alias("place"), "label", "class_id")
+    # most labels share no prefix with any other: they leave the trie before it is written
+    trie = labels.withColumn("n", F.count("*").over(W.partitionBy("place"))).where("n > 1").select("place", "label", "class_id")
+    trie = materialise(trie, "neardup-trie", bucket="place")
+    first = materialise(classes.select("class_id", "id"), "neardup-classes")
+    discard(signed_)
+
+    links, tested, crowded = None, None, None
+    for depth in range(DEEPEST, forest.shallowest - 1, -1):
+        at = trie.select("place", prefix("label", depth).alias("prefix"), "class_id")
+        met = at.groupBy("place", "prefix").agg(F.count("*").alias("n"), F.min("class_id").alias("class_a"), F.max("class_id").alias("class_b")).where("n > 1")
+        two = met.where("n = 2").select("class_a", "class_b")
+        many = at.join(met.where(F.col("n").between(3, CROWD)).select("place", "prefix"), ["place", "prefix"])
+        more = many.alias("x").join(many.alias("y"), F.expr("x.place = y.place and x.prefix = y.prefix and x.class_id < y.class_id")).select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b"))
+        pairs = two.unionByName(more).distinct()
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["class_a", "class_b"], "left_anti"), "neardup-pairs")
+        found = _verified(pairs, first, texts, tenths, width, least)
+        links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        crowded = at.join(met.where(F.col("n") > CROWD).select("place", "prefix"), ["place", "prefix"]).select("class_id").distinct()
+        told = links.agg(F.count("*").alias("n"), F.sum(1 / forest.met_column(F.col("shared") / F.col("total"), depth)).alias("all")).first()
+        if told.n and told.n >= target * told.all:
+            break
+    crowded = materialise(crowded, "neardup-crowded")
+    if not crowded.isEmpty():
+        rest = _rare_pairs(crowded.join(first, "class_id"), texts, tenths, width, least).join(tested, ["class_a", "class_b"], "left_anti")
+        links = links.unionByName(_verified(materialise(rest, "neardup-pairs"), first, texts, tenths, width, least))
+    discard(trie)
+    return members, links
+
+
+def _sets(named: DataFrame, texts: DataFrame, width: int, least: int) -> DataFrame:
+    """(class_id, seqs) of the classes `named` (class_id, id), from the text of their id."""
+    return _with_sequences(named.join(texts, "id").dropDuplicates(["class_id"]).select("class_id", "text"), width, least)
+
+
+def _verified(pairs: DataFrame, first: DataFrame, texts: DataFrame, tenths: int, width: int, least: int) -> DataFrame:
+    """The pairs (class_a, class_b) that reach the threshold, with shared and total, from their whole sets."""
+    named = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct().join(first, "class_id")
+    sets = materialise(_sets(named, texts, width, least), "neardup-sets")
     both = pairs.join(sets.select(F.col("class_id").alias("class_a"), F.col("seqs").alias("a")), "class_a").join(sets.select(F.col("class_id").alias("class_b"), F.col("seqs").alias("b")), "class_b")
     shared = both.select("class_a", "class_b", F.size(F.array_intersect("a", "b")).alias("shared"), (F.size("a") + F.size("b")).alias("both"))
-    links = shared.select("class_a", "class_b", "shared", (F.col("both") - F.col("shared")).alias("total")).where(F.col("shared") * 10 >= F.col("total") * tenths)
-    return members.select("id", "class_id").distinct(), links
+    links = materialise(shared.select("class_a", "class_b", "shared", (F.col("both") - F.col("shared")).alias("total")).where(F.col("shared") * 10 >= F.col("total") * tenths), "neardup-links")
+    discard(sets)
+    return links
+
+
+def _rare_pairs(named: DataFrame, texts: DataFrame, tenths: int, width: int, least: int) -> DataFrame:
+    """Pairs of the classes `named` among which all are that reach the threshold.
+
+    Two sets can only be so similar if they share one of the rarest sequences of each: of n, the
+    first n - ceil(n * tenths / 10) + 1 in the order of how many classes hold them.
+    """
+    held = materialise(_sets(named, texts, width, least).select("class_id", F.size("seqs").alias("n"), F.explode("seqs").alias("seq")), "neardup-held")
+    common = held.groupBy("seq").agg(F.count("*").alias("held"))
+    nth = F.row_number().over(W.partitionBy("class_id").orderBy("held", "seq"))
+    rare = held.join(common.where("held > 1"), "seq", "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("nth", nth)
+    rare = materialise(rare.where(f"held > 1 and nth <= n - ceil(n * {tenths} / 10) + 1").select("seq", "class_id", "n"), "neardup-rare")
+    like = f"x.seq = y.seq and x.class_id < y.class_id and least(x.n, y.n) * 10 >= greatest(x.n, y.n) * {tenths}"
+    return rare.alias("x").join(rare.alias("y"), F.expr(like)).select(F.col("x.class_id").alias("class_a"), F.col("y.class_id").alias("class_b")).distinct()
 
 
 def similar_pairs(texts: DataFrame, full: int | None = None, **how) -> DataFrame:

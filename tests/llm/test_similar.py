@@ -95,16 +95,36 @@ def test_nothing_to_compare(spark):
 
 
 def test_forest_reaches_target():
-    f = D.Forest(0.7, 40, 0.999)
+    f = D.Forest(0.7, 32, 0.999)
+    assert f.met(0.7, f.shallowest) >= 0.999 > f.met(0.7, f.shallowest + 1)
     rng = np.random.default_rng(2)
     met = []
+    shift = np.uint64(64 - 8 * f.shallowest)
     for _ in range(200):
         shared = rng.integers(0, 2**63, 140, dtype=np.uint64)
         a, b = (np.unique(np.concatenate([shared, rng.integers(0, 2**63, 30, dtype=np.uint64)])) for _ in range(2))
-        met.append(bool((f.labels(a) == f.labels(b)).any()))
+        met.append(bool((f.labels(a).view(np.uint64) >> shift == f.labels(b).view(np.uint64) >> shift).any()))
     assert np.mean(met) >= 0.985
 
 
+def test_crowded_places_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(D, "CROWD", 5)
+    rows = corpus() + [(f"k{i}", " ".join([f"s{j}" for j in range(60)] + [f"k{i}_{j}" for j in range(4 + i % 9)])) for i in range(60)]
+    got = [(r.id_a, r.id_b) for r in D.similar_pairs(spark.createDataFrame(rows, "id string, text string")).distinct().collect()]
+    want = brute(rows)
+    assert set(got) <= want and len(got) >= 0.995 * len(want) and len(want) > 1_000
+
+
+def test_one_place_of_many_distinct_texts(spark):
+    """20,000 texts whose common half fills the same places, and a few near-duplicates among them."""
+    head = F.lit(" ".join(f"h{i}" for i in range(36)))
+    own = F.concat_ws(" ", *[F.concat(F.lit(f"t{j}x"), F.col("id")) for j in range(20)])
+    texts = spark.range(20_000).select(F.format_string("c%06d", "id").alias("id"), F.concat_ws(" ", head, own).alias("text"))
+    near = texts.where("id < 'c000050'").select(F.concat(F.lit("n"), "id").alias("id"), F.concat("text", F.lit(" end")).alias("text"))
+    got = {(r.id_a, r.id_b) for r in D.similar_pairs(texts.unionByName(near)).distinct().collect()}
+    assert got == {(f"c{i:06d}", f"nc{i:06d}") for i in range(50)}
+
+
 def vectors(n=900, size=24, seed=4):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(30, size))
