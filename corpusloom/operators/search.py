@@ -16,7 +16,7 @@ QUERY_BLOCK, INDEX_SHARD = 2_000, 50_000
 HEAD = "==== CONTEXT ====\nRetrieved from the indexed repositories:\n\n"
 TAIL = "\n=================\n"
 SYSTEM = "You answer questions about code. Use only the given context and say so if it does not suffice."
-NO_CONTEXT = "No relevant context found."
+NO_CONTEXT = "Nothing in the index matches this question."
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int, id_: str, vector: str, metric: str = "cosine", within: str | None = None) -> DataFrame:
@@ -61,10 +61,10 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, id_: str, vector: str, m
                 score = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
             score = np.round(score, 6)
             cost = np.where(np.isnan(score), np.inf, -score if metric == "cosine" else score)
-            for query, row, s in zip(group["id"], cost, score, strict=True):
-                best = np.argsort(row, kind="stable")[:k]
-                best = best[np.isfinite(row[best])]
-                out.append(pd.DataFrame({"query_id": query, "id": ids[best], "score": s[best]}))
+            best = np.argsort(cost, axis=1, kind="stable")[:, :k]
+            real = np.isfinite(np.take_along_axis(cost, best, 1))
+            asked = np.repeat(group["id"].to_numpy()[:, None], best.shape[1], 1)
+            out.append(pd.DataFrame({"query_id": asked[real], "id": ids[best][real], "score": np.take_along_axis(score, best, 1)[real]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
     keys = ["own", "block", "shard"] if within else ["block", "shard"]
@@ -84,20 +84,25 @@ def section(rank: Column, hit: dict[str, Column], distance: Column | None = None
     )
 
 
+def _running(sections: DataFrame, query: str, rank: str, text: str) -> DataFrame:
+    run = W.partitionBy(query).orderBy(rank).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return sections.withColumn("used", F.sum(F.length(text)).over(run))
+
+
 def within_budget(sections: DataFrame, query: str = "query_id", rank: str = "rank", text: str = "section", budget: int = 12_000) -> DataFrame:
     """The first sections of each query whose lengths together stay within the budget.
 
     It ends at the first that does not fit. Lengths are positive, so that this is where the
     running sum passes the budget.
     """
-    run = W.partitionBy(query).orderBy(rank).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return sections.withColumn("used", F.sum(F.length(text)).over(run)).where(F.col("used") <= budget)
+    return _running(sections, query, rank, text).where(F.col("used") <= budget)
 
 
-def contexts(kept: DataFrame, query: str = "query_id", rank: str = "rank", text: str = "section") -> DataFrame:
-    """(query, context): the kept sections joined in order; their number is bounded by the budget."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, text))), lambda s: s[text]), "\n")
-    return kept.groupBy(query).agg(F.concat(F.lit(HEAD), body, F.lit(TAIL)).alias("context"))
+def contexts(sections: DataFrame, query: str = "query_id", rank: str = "rank", text: str = "section", budget: int = 12_000) -> DataFrame:
+    """(query, context): the sections within the budget joined in order; the body is empty where the first does not fit."""
+    kept = F.collect_list(F.when(F.col("used") <= budget, F.struct(rank, text)))  # nulls are left out; the budget bounds the list
+    body = F.array_join(F.transform(F.array_sort(kept), lambda s: s[text]), "\n")
+    return _running(sections, query, rank, text).groupBy(query).agg(F.concat(F.lit(HEAD), body, F.lit(TAIL)).alias("context"))
 
 
 def prompt(context: Column, question: Column, system: str = "") -> Column:

@@ -19,16 +19,14 @@ def enriched(found: DataFrame) -> DataFrame:
     names = ("repo", "file", "symbol_name", "parent_symbol", "symbol_type", "signature", "content", "docstring", "imports")
     related = with_members(found).select("chunk_id", "members")
     s = found.join(related, "chunk_id", "left")
-    c = {n: F.col(n) for n in names}
+    c = {n: F.col(n) for n in names} | {"uses": ft.dependencies(F.col("content"), F.col("imports"))}
     clean = ft.clean_docstring(F.col("docstring"))
-    enum = F.concat(F.lit("Enum: "), c["symbol_name"], F.lit("\nRepository: "), c["repo"], F.lit("\nFile: "), c["file"], F.lit("\n\nPossible Values:\n"), F.array_join(ft.enum_values(c["content"]), ", "))
-    chunk = F.concat(F.lit("Document Section:\n"), ft.chunk_title(c["content"]), F.lit("\n\nRepository:\n"), c["repo"], F.lit("\n\nFile:\n"), c["file"], F.lit("\n\nSummary:\n"), ft.chunk_summary(c["content"], c["docstring"]))
     kind = F.col("symbol_type")
     described = (
         F.when(kind.isin("function", "method"), ft.function_description(c))
         .when(kind.isin("class", "struct", "trait", "interface"), ft.class_description(c, F.coalesce("members", F.array().cast("array<string>"))))
-        .when(kind == "enum", enum)
-        .when(kind == "chunk", chunk)
+        .when(kind == "enum", ft.enum_description(c))
+        .when(kind == "chunk", ft.chunk_description(c))
         .otherwise(ft.retrieval_sentence(F.col("language"), kind, c["symbol_name"], c["parent_symbol"], c["file"]))
     )
     return s.select(*found.columns, F.col("members").alias("related_symbols"), ft.keywords(c["symbol_name"], c["signature"], clean, c["imports"]).alias("keywords"), described.alias("retrieval_text"), kind.isin(*CANDIDATE_TYPES).alias("embedding_candidate"))
@@ -53,5 +51,5 @@ def ask(spark: SparkSession, out: str, questions: DataFrame, k: int = 20, budget
     asked = search.hashed_embedding(questions.select(F.col("question").alias("chunk_id"), "question").distinct(), "question")
     hits = search.top_k(asked.select("chunk_id", "embedding"), rows.select("chunk_id", "embedding"), k, "chunk_id", "embedding")
     shown = hits.join(rows.drop("embedding"), hits["id"] == rows["chunk_id"]).withColumn("section", search.section(F.col("rank"), {c: F.col(c) for c in ("symbol_type", "symbol_name", "file", "language", "retrieval_text")}, F.col("score")))
-    found = search.contexts(search.within_budget(shown))
+    found = search.contexts(shown, budget=budget)
     return questions.select("question").distinct().join(found, F.col("question") == F.col("query_id"), "left").select("question", search.prompt(F.col("context"), F.col("question")).alias("prompt"))

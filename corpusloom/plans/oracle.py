@@ -80,7 +80,7 @@ _STATED = f"""list_transform(list_filter(list_transform(regexp_extract_all(coale
 def _returns() -> str:
     said = _strip("regexp_extract(clean, '(?i)\\breturns?:[ \\t]*([^\\n]+)', 1)")
     prose = _strip("regexp_extract(clean, '(?i)\\breturns? ([^.\\n]+)', 1)")
-    return f"coalesce(nullif({_ARROW}, ''), nullif({said}, ''), nullif({prose}, ''), nullif(array_to_string({_distinct('st')}, ', '), ''), 'void / execution results')"
+    return f"coalesce(nullif({_ARROW}, ''), nullif({said}, ''), nullif({prose}, ''), nullif(array_to_string({_distinct('st')}, ', '), ''), 'nothing stated')"
 
 
 def _none(words: str) -> str:
@@ -102,13 +102,14 @@ _BARE_URL = "regexp_replace(regexp_replace(trim(url), '\\.git$', ''), '/+$', '')
 _SECTIONS = f"""(select query_id, chunk_id, rank, 'Result ' || rank || chr(10) || 'Type: ' || coalesce(symbol_type, 'Unknown') || chr(10) || 'Name: ' || coalesce(symbol_name, 'Unknown') || chr(10) || 'File: ' || coalesce(file, 'Unknown') || chr(10) || 'Language: ' || coalesce(language, 'Unknown') || chr(10)
     || chr(10) || coalesce(retrieval_text, '') || chr(10) || chr(10) || repeat('-', 60) || chr(10) as section from (select *, repo || '/' || file as query_id, row_number() over (partition by repo, file order by chunk_id)::int as rank from
     (select distinct repo, chunk_id, symbol_type, symbol_name, file, language, retrieval_text from code_symbol where retrieval_text is not null)))"""
-_KEPT = f"(select *, sum(length(section)) over (partition by query_id order by rank) as used from {_SECTIONS} qualify used <= 12000)"
-_CONTEXTS = f"(select query_id, {_q(search.HEAD)} || string_agg(section, chr(10) order by rank) || {_q(search.TAIL)} as context from {_KEPT} group by query_id)"
+_RUNNING = f"(select *, sum(length(section)) over (partition by query_id order by rank) as used from {_SECTIONS})"
+_KEPT = f"(select * from {_RUNNING} where used <= 12000)"
+_CONTEXTS = f"(select query_id, {_q(search.HEAD)} || coalesce(string_agg(section, chr(10) order by rank) filter (used <= 12000), '') || {_q(search.TAIL)} as context from {_RUNNING} group by query_id)"
 
 
-def _topk(score: str, order: str, name: str, where: str = "true") -> str:
+def _topk(score: str, order: str, name: str, searched: str = "true") -> str:
     return f"""select q.vec_id as query_id, e.vec_id, round({score}, 6) as {name}, row_number() over (partition by q.vec_id order by round({score}, 6) {order}, e.vec_id)::int as rank
-        from (select distinct vec_id, embedding::double[] as a from embeddings where vec_id % 50 = 0 and {where}) q, (select distinct vec_id, embedding::double[] as b from embeddings where {where}) e qualify rank <= 5"""
+        from (select distinct vec_id, embedding::double[] as a from embeddings where vec_id % 50 = 0) q, (select distinct vec_id, embedding::double[] as b from embeddings where {searched}) e qualify rank <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -124,7 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "run_stats": f"select repo, count(*) as found, count(*) filter (x in ('text', 'empty')) as processed, count(*) filter (x = 'ignored') as ignored, count(*) filter (x = 'binary') as \"binary\", count(*) filter (x = 'large') as large from (select repo, {_disposition()} as x from {source}) group by repo",
         "chunk_windows": f"select doc_id, (b // 45)::int as chunk_index, b::int + 1 as start_line, e::int as end_line, md5(array_to_string(list_slice(l, b + 1, e), chr(10))) as content_md5 from {_WINDOWS}",
         "chunk_counts": f"select source, count(*) as n_chunks, sum(e - b)::bigint as n_lines from {_WINDOWS} group by source",
-        "chunk_overview": f"""select chunk_id, case when len(hs) > 0 then {_strip("regexp_replace(hs[1], '^#+', '')")} when ls[1] <> '' then case when length(ls[1]) > 50 then ls[1][1:47] || '...' else ls[1] end else 'Document Section' end as title,
+        "chunk_overview": f"""select chunk_id, case when len(hs) > 0 then {_strip("regexp_replace(hs[1], '^#+', '')")} when ls[1] <> '' then case when length(ls[1]) > 50 then ls[1][1:47] || '...' else ls[1] end else 'untitled part' end as title,
             case when length(t) > 200 then {_strip("t[1:197]")} || '...' else t end as summary from (select *, list_filter(ls, lambda x: starts_with(x, '#')) as hs, case when clean <> '' then clean else content end as t
             from (select *, list_transform(string_split(content, chr(10)), lambda x: {_strip("x")}) as ls, {_CLEAN} as clean from {symbols("chunk_id", "symbol_type", "content", "docstring")} where symbol_type = 'chunk' and content is not null))""",
         "symbol_ids": f"select repo || '::' || file || '::' || symbol_name || '::' || start_line as chunk_id, repo || '::' || file || '::' || symbol_name as symbol_id from {symbols('repo', 'file', 'symbol_name', 'start_line')}",
@@ -136,13 +137,12 @@ def oracle_sql() -> dict[str, str]:
         "signature_inputs": f"select chunk_id, array_to_string({_INPUTS}, ', ') as inputs from {symbols('chunk_id', 'signature')}",
         "signature_returns": f"select chunk_id, {_returns()} as gives from (select *, {_CLEAN} as clean, {_STATED} as st from {symbols('chunk_id', 'symbol_type', 'signature', 'content', 'docstring')} where symbol_type in ('function', 'method'))",
         "dependency_match": f"select chunk_id, array_to_string({_distinct('ts')}, ', ') as dependencies from (select *, {_TAILS} as ts from {symbols('chunk_id', 'content', 'imports')})",
-        "function_descriptions": f"""select chunk_id, md5(case when parent_symbol is not null then 'Method' else 'Function' end || ': ' || symbol_name || chr(10) || 'Repository: ' || repo || chr(10) || 'File: ' || file || chr(10)
-            || case when parent_symbol is not null then chr(10) || 'Belongs to:' || chr(10) || parent_symbol || chr(10) else '' end || chr(10) || 'Purpose:' || chr(10) || case when clean <> '' then clean else 'Executes logic for ' || symbol_name || '.' end
-            || chr(10) || chr(10) || 'Signature:' || chr(10) || coalesce(signature, '') || chr(10) || chr(10) || 'Inputs:' || chr(10) || {_none("ins")} || chr(10) || chr(10) || 'Returns:' || chr(10) || {_returns()} || chr(10) || chr(10) || 'Dependencies:' || chr(10) || {_none("deps")}) as description_md5
+        "function_descriptions": f"""select chunk_id, md5(case when parent_symbol is not null then 'method ' else 'function ' end || symbol_name || ' of ' || repo || '/' || file || case when parent_symbol is not null then ' inside ' || parent_symbol else '' end
+            || chr(10) || 'about: ' || case when clean <> '' then clean else 'not documented' end || chr(10) || 'header: ' || coalesce(signature, '') || chr(10) || 'takes: ' || {_none("ins")} || chr(10) || 'gives: ' || {_returns()} || chr(10) || 'uses: ' || {_none("deps")}) as description_md5
             from (select *, {_distinct("ts")} as deps from (select *, {_CLEAN} as clean, {_STATED} as st, {_INPUTS} as ins, {_TAILS} as ts from {symbols("chunk_id", "symbol_type", "repo", "file", "symbol_name", "parent_symbol", "signature", "content", "docstring", "imports")} where symbol_type in ('function', 'method')))""",
         "class_members_join": f"select chunk_id, array_to_string(members, ', ') as members, len(members)::int as n_members from {_MEMBERS}",
-        "class_descriptions": f"""select chunk_id, md5(upper(symbol_type[1]) || lower(symbol_type[2:]) || ': ' || symbol_name || chr(10) || 'Repository: ' || repo || chr(10) || 'File: ' || file || chr(10) || chr(10) || 'Purpose:' || chr(10) || case when clean <> '' then clean else 'Defines structural type ' || symbol_name || '.' end
-            || chr(10) || chr(10) || 'Methods:' || chr(10) || {_none("members")} || chr(10) || chr(10) || 'Dependencies:' || chr(10) || {_none("deps")}) as description_md5 from (select *, {_distinct("ts")} as deps from (select *, {_CLEAN} as clean, {_TAILS} as ts from {_MEMBERS}))""",
+        "class_descriptions": f"""select chunk_id, md5(symbol_type || ' ' || symbol_name || ' of ' || repo || '/' || file || chr(10) || 'about: ' || case when clean <> '' then clean else 'not documented' end
+            || chr(10) || 'members: ' || {_none("members")} || chr(10) || 'uses: ' || {_none("deps")}) as description_md5 from (select *, {_distinct("ts")} as deps from (select *, {_CLEAN} as clean, {_TAILS} as ts from {_MEMBERS}))""",
         "export_flags": f"select chunk_id, {_FLAG} as is_exported, ({_FLAG}) and not coalesce(exported, false) as flipped from {symbols('chunk_id', 'symbol_name', 'exported', 'exports')}",
         "candidates": f"select chunk_id, symbol_type from {symbols('chunk_id', 'symbol_type', 'embedding_candidate')} where embedding_candidate and symbol_type in ({', '.join(map(_q, rules.CANDIDATE_TYPES))})",
         "language_breakdown": f"select repo, coalesce(language, 'unknown') as language, count(*) as n_symbols from {symbols('repo', 'chunk_id', 'language')} group by all",
@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
             select symbol_id, repo, symbol_name, symbol_type, md5(retrieval_text) as text_md5 from fresh union all select symbol_id, repo, symbol_name, symbol_type, md5(coalesce(retrieval_text, '')) from (select * from indexed_dataset qualify row_number() over (partition by symbol_id order by coalesce(retrieval_text, '') desc) = 1)
             where symbol_id not in (select symbol_id from fresh)""",
         "cosine_topk": _topk("list_cosine_similarity(a, b)", "desc", "cosine"),
-        "cosine_topk_filtered": _topk("list_cosine_similarity(a, b)", "desc", "cosine", "label = 3"),
+        "cosine_topk_filtered": _topk("list_cosine_similarity(a, b)", "desc", "cosine", "label % 2 = 1"),
         "cosine_topk_by_label": """select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(a, b), 6) as cosine, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(a, b), 6) desc, e.vec_id)::int as rank
             from (select distinct vec_id, embedding::double[] as a, label from embeddings where vec_id % 50 = 0) q join (select distinct vec_id, embedding::double[] as b, label from embeddings) e on q.label = e.label qualify rank <= 5""",
         "l2_topk": _topk("list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))", "asc", "distance"),

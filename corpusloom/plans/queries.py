@@ -24,6 +24,7 @@ def query(f: Query) -> Query:
 
 
 def _symbols(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Distinct rows of narrow columns; what reads `content` makes its result first and drops repeats then."""
     return table(spark, d, "code_symbol", *columns).distinct()
 
 
@@ -36,7 +37,7 @@ def ignore_rule_first_match(spark, d):
 
 @query
 def ignored_by_rule(spark, d):
-    """Files per ignore rule and repository, most first."""
+    """Files per ignore rule and repository."""
     once = table(spark, d, "source_file", "repo", "file").distinct().withColumn("rule", F.coalesce(ff.ignore_rule(F.col("file")), F.lit("(kept)")))
     return once.groupBy("repo", "rule").agg(F.count("*").alias("n_files"))
 
@@ -44,29 +45,29 @@ def ignored_by_rule(spark, d):
 @query
 def file_disposition(spark, d):
     """What becomes of each file before it is read."""
-    f = table(spark, d, "source_file", "repo", "file", "content", "length").dropDuplicates(["repo", "file"])
-    return f.select("repo", "file", ff.disposition(F.col("file"), F.col("content"), F.col("length")).alias("disposition"))
+    f = table(spark, d, "source_file", "repo", "file", "content", "length")
+    return f.select("repo", "file", ff.disposition(F.col("file"), F.col("content"), F.col("length")).alias("disposition")).dropDuplicates(["repo", "file"])
 
 
 @query
 def file_decode(spark, d):
     """Decoded text of each file's bytes, as its md5."""
-    f = table(spark, d, "source_file", "repo", "file", "content").dropDuplicates(["repo", "file"])
-    return f.select("repo", "file", F.md5(ff.decoded(F.col("content"))).alias("text_md5"))
+    f = table(spark, d, "source_file", "repo", "file", "content")
+    return f.select("repo", "file", F.md5(ff.decoded(F.col("content"))).alias("text_md5")).dropDuplicates(["repo", "file"])
 
 
 @query
 def file_language(spark, d):
     """The language of each file by name, first line and suffix."""
-    f = table(spark, d, "source_file", "repo", "file", "text").dropDuplicates(["repo", "file"])
-    return f.select("repo", "file", ff.language(F.col("file"), F.col("text")).alias("detected"))
+    f = table(spark, d, "source_file", "repo", "file", "text")
+    return f.select("repo", "file", ff.language(F.col("file"), F.col("text")).alias("detected")).dropDuplicates(["repo", "file"])
 
 
 @query
 def run_stats(spark, d):
     """Counters of one run over each repository's files."""
-    f = table(spark, d, "source_file", "repo", "file", "content", "length").dropDuplicates(["repo", "file"])
-    x = f.select("repo", ff.disposition(F.col("file"), F.col("content"), F.col("length")).alias("disposition"))
+    f = table(spark, d, "source_file", "repo", "file", "content", "length")
+    x = f.select("repo", "file", ff.disposition(F.col("file"), F.col("content"), F.col("length")).alias("disposition")).dropDuplicates(["repo", "file"])
     is_ = lambda v: F.count_if(F.col("disposition") == v)
     return x.groupBy("repo").agg(F.count("*").alias("found"), F.count_if(F.col("disposition").isin("text", "empty")).alias("processed"), is_("ignored").alias("ignored"), is_("binary").alias("binary"), is_("large").alias("large"))
 
@@ -96,16 +97,17 @@ def chunk_paragraphs(spark, d):
 @query
 def chunk_overview(spark, d):
     """Title and summary of every chunk symbol."""
-    s = _symbols(spark, d, "chunk_id", "symbol_type", "content", "docstring").where("symbol_type = 'chunk' and content is not null")
-    return s.select("chunk_id", ft.chunk_title(F.col("content")).alias("title"), ft.chunk_summary(F.col("content"), F.col("docstring")).alias("summary"))
+    s = table(spark, d, "code_symbol", "chunk_id", "symbol_type", "content", "docstring").where("symbol_type = 'chunk' and content is not null")
+    return s.select("chunk_id", ft.chunk_title(F.col("content")).alias("title"), ft.chunk_summary(F.col("content"), F.col("docstring")).alias("summary")).distinct()
 
 
 # ---------------------------------------------------------------- symbols
 @query
 def extracted_symbols(spark, d):
     """Symbols of every source file by its language's parser, chunks where there is none."""
-    f = table(spark, d, "source_file", "repo", "file", "language", "text").dropDuplicates(["repo", "file"])
-    return symbols.symbols(evenly(f)).select("chunk_id", "symbol_id", "symbol_type", "symbol_name", "parent_symbol", "start_line", "end_line", "signature", "is_async", "ast_parse_failure", "imports", "exports")
+    f = table(spark, d, "source_file", "repo", "file", "language", "text")
+    found = symbols.symbols(evenly(f)).select("chunk_id", "symbol_id", "symbol_type", "symbol_name", "parent_symbol", "start_line", "end_line", "signature", "is_async", "ast_parse_failure", "imports", "exports")
+    return found.distinct()
 
 
 @query
@@ -154,23 +156,23 @@ def signature_inputs(spark, d):
 @query
 def signature_returns(spark, d):
     """What every function gives."""
-    s = _symbols(spark, d, "chunk_id", "symbol_type", "signature", "content", "docstring").where("symbol_type in ('function', 'method')")
-    return s.select("chunk_id", ft.returns(F.col("signature"), F.col("content"), ft.clean_docstring(F.col("docstring"))).alias("gives"))
+    s = table(spark, d, "code_symbol", "chunk_id", "symbol_type", "signature", "content", "docstring").where("symbol_type in ('function', 'method')")
+    return s.select("chunk_id", ft.returns(F.col("signature"), F.col("content"), ft.clean_docstring(F.col("docstring"))).alias("gives")).distinct()
 
 
 @query
 def dependency_match(spark, d):
     """Imports that a symbol's content mentions."""
-    s = _symbols(spark, d, "chunk_id", "content", "imports")
-    return s.select("chunk_id", F.array_join(ft.dependencies(F.col("content"), F.col("imports")), ", ").alias("dependencies"))
+    s = table(spark, d, "code_symbol", "chunk_id", "content", "imports")
+    return s.select("chunk_id", F.array_join(ft.dependencies(F.col("content"), F.col("imports")), ", ").alias("dependencies")).distinct()
 
 
 @query
 def function_descriptions(spark, d):
     """Descriptions of functions and methods, as md5."""
     names = ("repo", "file", "symbol_name", "parent_symbol", "signature", "content", "docstring", "imports")
-    s = _symbols(spark, d, "chunk_id", "symbol_type", *names).where("symbol_type in ('function', 'method')")
-    return s.select("chunk_id", F.md5(ft.function_description({n: F.col(n) for n in names})).alias("description_md5"))
+    s = table(spark, d, "code_symbol", "chunk_id", "symbol_type", *names).where("symbol_type in ('function', 'method')")
+    return s.select("chunk_id", F.md5(ft.function_description({n: F.col(n) for n in names})).alias("description_md5")).distinct()
 
 
 @query
@@ -183,8 +185,9 @@ def class_members_join(spark, d):
 @query
 def class_descriptions(spark, d):
     """Descriptions of class-like symbols, as md5."""
-    names = ("repo", "file", "symbol_name", "symbol_type", "content", "docstring", "imports")
-    s = _symbols(spark, d, "chunk_id", "parent_symbol", "start_line", *names)
+    names = ("repo", "file", "symbol_name", "symbol_type", "docstring", "uses")
+    s = table(spark, d, "code_symbol", "chunk_id", "parent_symbol", "start_line", "content", "imports", *names[:-1])
+    s = s.withColumn("uses", ft.dependencies(F.col("content"), F.col("imports"))).drop("content", "imports").distinct()
     m = members.with_members(s)
     return m.select("chunk_id", F.md5(ft.class_description({n: F.col(n) for n in names}, F.col("members"))).alias("description_md5"))
 
@@ -339,9 +342,9 @@ def cosine_topk(spark, d):
 
 @query
 def cosine_topk_filtered(spark, d):
-    """The same under one filter on both sides, label 3; cosine_topk_by_label has the queries of every label."""
+    """The same under a filter: only vectors with an odd label are searched, for queries of every label."""
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label").distinct()
-    found = search.top_k(e.where("vec_id % 50 = 0 and label = 3"), e.where("label = 3"), 5, "vec_id", "embedding")
+    found = search.top_k(e.where("vec_id % 50 = 0"), e.where("label % 2 = 1"), 5, "vec_id", "embedding")
     return found.select("query_id", F.col("id").alias("vec_id"), F.col("score").alias("cosine"), "rank")
 
 
@@ -376,14 +379,14 @@ def context_budget(spark, d):
 @query
 def context_string(spark, d):
     """One context per file, as its length and md5."""
-    c = search.contexts(search.within_budget(_sections(spark, d)))
+    c = search.contexts(_sections(spark, d))
     return c.select("query_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
 
 
 @query
 def prompt_build(spark, d):
     """One prompt per file that has symbols, as its md5."""
-    c = search.contexts(search.within_budget(_sections(spark, d)))
+    c = search.contexts(_sections(spark, d))
     return c.select("query_id", F.md5(search.prompt(F.col("context"), F.concat(F.lit("What does "), F.col("query_id"), F.lit(" do?")))).alias("prompt_md5"))
 
 

@@ -53,9 +53,9 @@ def test_ingest_index_ask(spark, tree, tmp_path):
     plans.ingest(spark, str(tree), "demo", out)
     rows = {r.symbol_name: r for r in spark.read.parquet(f"{out}/symbols").collect()}
     assert {"A", "A.f", "U", "impl U", "impl U.new", "chunk_1", "chunk_4"} <= set(rows) and not any("node_modules" in r.file for r in rows.values())
-    assert rows["A"].related_symbols == ["f"] and "Inputs:\nx" in rows["A.f"].retrieval_text
+    assert rows["A"].related_symbols == ["f"] and "takes: x" in rows["A.f"].retrieval_text
     plans.index(spark, out)
-    asked = plans.ask(spark, out, spark.createDataFrame([("Method: A.f in src/main.py",)], "question string"), k=3, repo="demo").collect()
+    asked = plans.ask(spark, out, spark.createDataFrame([("method A.f of demo/src/main.py inside A",)], "question string"), k=3, repo="demo").collect()
     assert len(asked) == 1 and "A.f" in asked[0].prompt and asked[0].prompt.endswith("Answer:")
     assert spark.read.parquet(f"{out}/index").count() == sum(bool(r.embedding_candidate) for r in rows.values())
 
