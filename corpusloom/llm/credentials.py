@@ -1,10 +1,11 @@
 """Credentials that stand literally in source code and configuration.
 
-Candidates are values in places where credentials stand: assigned to, compared with or passed
-beside a telling name, in headers, addresses, command lines, comments and key blocks. Whether a
-value is one is judged by its characters per subword under a public vocabulary (text that people
-write needs few subwords, random strings many) together with rules on what stands there: stand-ins,
-masks, references, messages, hashes and public keys are none. Redaction keeps every offset.
+Every string that stands where a credential could is scored first, by its characters per subword
+under a public vocabulary: text that people write needs few subwords, random strings many. Then
+context decides how unnatural it has to be: without a telling name, header, address, command line or
+remark beside it no score is enough, beside a name also words with digits are, and only passphrases
+of several words need no score at all. Stand-ins, masks, references, messages, hashes and public
+keys are none. Redaction keeps every offset.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.tokens import VOCABULARY, encoder
 
-#: Characters per subword up to which a string of at least UNNATURAL_LENGTH looks random.
-UNNATURAL, UNNATURAL_LENGTH = 2.6, 8
+#: Characters per subword up to which a string of at least UNNATURAL_LENGTH looks random; up to which it may be a word that
+#: someone made up where a name says that a credential stands; and up to which it is random enough to be one as an argument.
+UNNATURAL, UNNATURAL_LENGTH, MADE_UP, RANDOM = 2.6, 8, 3.8, 1.8
 
 
 class Found(NamedTuple):
@@ -88,6 +90,9 @@ _FLAG_VALUE = re.compile(r"""(?:=|[ \t]+)(["']?)([^\s"'`\\]+)\1""")
 _COMMENT = re.compile(r"(?:^|\s)(?://|\#|/\*|\*|--|<!--|;)[ \t!]*(.*)")
 _REMARK = re.compile(r"(?i)\b(?:log[ -]?in|sign[ -]?in|opens? (?:with|by)|unlock(?:s|ed)?|accessed with|works? with|passw(?:or)?d|passphrase|pass|pin|pwd|creds?|credentials?|secret|token|api key|kennwort|mot de passe|combination)\b")
 _REMARK_WORDS = ("login", "log in", "log-in", "sign in", "sign-in", "open", "unlock", "access", "works with", "work with", "passw", "passphrase", "pass", "pin", "pwd", "cred", "secret", "token", "api key", "kennwort", "combination")
+#: A string passed to what opens or signs something.
+_CALL = re.compile(r"""(?i)(?:connect|log_?in|sign_?in|auth(?:enticate|orize)?|unlock|with_?(?:token|key|secret))\s*\((?:[^()"'`\n]*,\s*)?(["'`])([\w\-]{20,64})\1\s*[,)]""")
+_CALL_WORDS = ("connect", "login", "log_in", "signin", "sign_in", "auth", "unlock", "withtoken", "with_token", "withkey", "with_key", "withsecret", "with_secret")
 _LOOSE = re.compile(r"[^\s\"'`,;()<>\[\]{}]{7,}")
 
 
@@ -107,14 +112,19 @@ def characters_per_subword(text: str, vocabulary: str = VOCABULARY) -> float:
     return len(text) / max(1, encoder(vocabulary).length(text))
 
 
-def unnatural(text: str, vocabulary: str = VOCABULARY) -> bool:
-    return len(text) >= UNNATURAL_LENGTH and characters_per_subword(text, vocabulary) <= UNNATURAL
+def unnatural(text: str, vocabulary: str = VOCABULARY, most: float = UNNATURAL) -> bool:
+    return len(text) >= UNNATURAL_LENGTH and characters_per_subword(text, vocabulary) <= most
 
 
 def usable(value: str, vocabulary: str = VOCABULARY, named: bool = True) -> bool:
     """Whether a value that stands where a credential would can be one."""
     v = value.strip()
-    if len(v) < 5 or _STANDIN.match(v) or _REFERENCE.match(v) or _PUBLIC.match(v):
+    if len(v) < 5:
+        return False
+    words = v.split()
+    if len(words) == 1 and characters_per_subword(v, vocabulary) > (MADE_UP if named else UNNATURAL):
+        return False
+    if _STANDIN.match(v) or _REFERENCE.match(v) or _PUBLIC.match(v):
         return False
     if re.fullmatch(r"[+-]?[\d_]+(?:\.\d+)?(?:ms|s|m|h|d|kb|mb)?", v) and len(v) < 12:
         return False
@@ -122,12 +132,11 @@ def usable(value: str, vocabulary: str = VOCABULARY, named: bool = True) -> bool
         return False
     if len(set(v)) < 4 or "://" in v:
         return False
-    words = v.split()
     if len(words) > 1:
         # a passphrase is a few words; sentences, prompts and messages are not
         return 3 <= len(words) <= 12 and not _MESSAGE.search(v) and all(re.fullmatch(r"[^\W_]+(?:-[^\W_]+)*", w) for w in words)
     if not named:
-        return unnatural(v, vocabulary) and not _UUID.match(v) and not re.fullmatch(r"[0-9a-fA-F]+", v)
+        return len(v) >= UNNATURAL_LENGTH and not _UUID.match(v) and not re.fullmatch(r"[0-9a-fA-F]+", v)
     if _UUID.match(v):
         return True
     letters, digits = any(map(str.isalpha, v)), any(map(str.isdigit, v))
@@ -150,11 +159,12 @@ def credentials(content: str, language: str | None = None, vocabulary: str = VOC
         for m in _KEY_BLOCK.finditer(content):
             end = _KEY_END.search(content, m.end())
             last = end.end() if end else len(content)
-            if len(re.sub(r"\\n|[^A-Za-z0-9+/=]", "", content[m.end() : end.start() if end else last])) >= 24:
+            body = re.sub(r"\\n|[^A-Za-z0-9+/=]", "", content[m.end() : end.start() if end else last])
+            if len(body) >= 24 and unnatural(body, vocabulary):
                 add("private key", (m.start(), last))
     if "://" in content:
         for m in _ADDRESS.finditer(content):
-            if _secret_part(m.group(1)):
+            if _secret_part(m.group(1), vocabulary):
                 add("address", m.span(1))
     if " -p" in content or "-u " in content or "-w " in content or "--user" in content:
         for m in _SHORT_FLAG.finditer(content):
@@ -162,13 +172,20 @@ def credentials(content: str, language: str | None = None, vocabulary: str = VOC
             if usable(m.group(g), vocabulary):
                 add("command line", m.span(g))
     lower = content.lower()
-    if len(lower) == len(content) and any(w in lower for w in _ANCHOR_WORDS):
+    if len(lower) != len(content):  # some letters are longer in lower case
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in content)
+    if any(w in lower for w in _ANCHOR_WORDS):
         for m in _ANCHOR.finditer(lower):
             _named(content, m.start(), m.end(), language, vocabulary, add)
     if any(w in content for w in _ISSUED_WORDS):
         for m in _ISSUED.finditer(content):
-            if not _STANDIN.match(m.group()) and not re.search(r"(?i)example|x{6}|0{8}|1234567", m.group()):
+            if unnatural(m.group(), vocabulary) and not _STANDIN.match(m.group()) and not re.search(r"(?i)example|x{6}|0{8}|1234567", m.group()):
                 add("issued key", m.span())
+    if any(w in lower for w in _CALL_WORDS):
+        for m in _CALL.finditer(content):
+            v = m.group(2)
+            if unnatural(v, vocabulary, RANDOM) and usable(v, vocabulary, named=False) and re.search(r"\d", v) and re.search(r"[a-z]", v) and re.search(r"[A-Z]", v):
+                add("argument", m.span(2))
     if any(w in lower for w in _REMARK_WORDS):
         line_end = -1
         for m in _REMARK.finditer(content):
@@ -232,8 +249,8 @@ def _named(content: str, start: int, end: int, language: str | None, vocabulary:
         add("assignment", inline.span(1))
 
 
-def _secret_part(part: str) -> bool:
-    return len(part) >= 3 and not _STANDIN.match(part) and not _REFERENCE.match(part) and not re.match(r"[$%{<]", part) and len(set(part)) > 2
+def _secret_part(part: str, vocabulary: str) -> bool:
+    return len(part) >= 3 and (len(part) < UNNATURAL_LENGTH or characters_per_subword(part, vocabulary) <= MADE_UP) and not _STANDIN.match(part) and not _REFERENCE.match(part) and not re.match(r"[$%{<]", part) and len(set(part)) > 2
 
 
 def _pieces(content: str, at: int) -> list[tuple[int, int]]:
