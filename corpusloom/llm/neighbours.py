@@ -31,7 +31,7 @@ PIVOTS = 32
 #: Nodes that are compared in one task; cells of more are cut into parts, by the other of their nodes' two pivots as far as that goes.
 PART = 16_384
 #: Random trees in a part of a cell, and nodes of a leaf.
-TREES, LEAF = 8, 48
+TREES, LEAF = 4, 64
 #: Neighbours kept in the graph beyond k, and new and old neighbours of a node that meet in a round.
 SPARE, MEET = 6, 14
 #: Decimals to which directions are told apart; vectors that agree have similarity 1 to nine decimals.
@@ -154,7 +154,7 @@ class NeighbourGraph:
     neighbours; an empty table gives none.
     """
 
-    def __init__(self, df: DataFrame, id_: str = "symbol_id", vector: str = "embedding", size: int = 384, k: int = 10, rounds: int = 3, enough: float = 0.001, pivots: int = PIVOTS):
+    def __init__(self, df: DataFrame, id_: str = "symbol_id", vector: str = "embedding", size: int = 384, k: int = 10, rounds: int = 4, enough: float = 0.001, pivots: int = PIVOTS):
         self.source, self.id, self.vector, self.size, self.k = df, id_, vector, size, k
         self.keep = k + SPARE
         self.changed: list[float] = []
