@@ -1,11 +1,15 @@
 """Encoding texts with a public byte-level BPE vocabulary.
 
-The merges are compiled once into a deterministic automaton over tokens. Its states are the
-last token emitted. One gadget is added per merge (u, v), in the order of the merges: from
-then on, whatever ends in a live u may no longer be followed by whatever starts with a live v.
-What remains are the arcs between tokens that can stand side by side. A word is encoded by
-following arcs, longest label first; a dead position is never tried twice, so that the work
-stays linear. Decoding emits the labels of the arcs.
+The merges are compiled once, gadget by gadget in their order, into an automaton over tokens. Its
+states are the last token emitted; the gadget of a merge (u, v) says that from then on whatever ends
+in a live u may no longer be followed by whatever starts with a live v. What remains are the arcs
+between tokens that can stand side by side, and every word is the label of exactly one path.
+
+That automaton is made deterministic over bytes: a state holds the beginnings of tokens that may
+be under way, each with the token before it, and the one token with which the bytes read so far
+end. Its transitions are kept in a table that is filled as states are reached; beginnings that no
+token continues are pruned, so that a state says no more than the future can tell apart. A word is
+encoded by one table step per byte, and its tokens are read back from the last. Decoding emits labels.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's words are cut before merging; a fixed value that belongs to the vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept encoded in a worker; beyond it the memo starts anew, which changes speed only.
+#: Words kept encoded in a worker, and states in the table; beyond it they start anew, which changes speed only.
 MEMO_WORDS = 400_000
 NEVER = 1 << 60
 
@@ -34,10 +38,7 @@ class Automaton:
     def __init__(self, ranks: dict[bytes, int]):
         self.ids = ranks
         self.labels = {i: label for label, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
-        self._reach: dict[bytes, int] = {}
-        for label in ranks:
-            self._reach[label[:3]] = max(self._reach.get(label[:3], 0), len(label))
+        self._begun = {label[:n] for label in ranks for n in range(1, len(label))}
         self._arcs: dict[tuple[int, int], bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
         self._edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
@@ -45,6 +46,7 @@ class Automaton:
         self.parts: dict[int, tuple[int, int]] = {}
         self.gadgets: dict[tuple[int, int], int] = {}
         self._compile()
+        self._forget()
 
     def _compile(self) -> None:
         """Adds the gadget of each merge; which two tokens it joins follows from the earlier ones."""
@@ -101,42 +103,52 @@ class Automaton:
             self._arcs[key] = open_
         return open_
 
-    def _label_at(self, word: bytes, at: int, most: int) -> tuple[int, int] | None:
-        ids = self.ids
-        reach = self._reach.get(word[at : at + 3], 2)  # no label that begins so is longer
-        for end in range(min(len(word), at + min(most, reach)), at, -1):
-            if (token := ids.get(word[at:end])) is not None:
-                return token, end
-        return None
+    def _forget(self) -> None:
+        """An empty table: of each state the beginnings under way with the token before them, and the token it ends with."""
+        self._table: dict[int, int] = {}
+        self._states: list[tuple[tuple[bytes, int], ...]] = [((b"", -1),)]
+        self._ends: list[int] = [-1]
+        self._numbers = {self._states[0]: 0}
+
+    def _reach(self, state: int, byte: int) -> int:
+        """The state behind `state` and `byte`, entered into the table."""
+        on = bytes((byte,))
+        last, alive = -1, []
+        for begun, before in self._states[state]:
+            label = begun + on
+            token = self.ids.get(label)
+            if last < 0 and token is not None and (before < 0 or self.arc(before, token)):
+                last = token
+            if label in self._begun:
+                alive.append((label, before))
+        if last < 0:
+            raise ValueError("the vocabulary has no token for some byte")
+        alive.append((b"", last))
+        key = tuple(alive)
+        number = self._numbers.get(key)
+        if number is None:
+            number = self._numbers[key] = len(self._states)
+            self._states.append(key)
+            self._ends.append(last)
+        self._table[state << 8 | byte] = number
+        return number
 
     def word(self, word: bytes) -> tuple[int, ...]:
         """Ids of one pre-split word."""
-        whole = self.ids.get(word)
-        if whole is not None:
-            return (whole,)
-        path: list[int] = []
-        ends: list[int] = []
-        dead: set[int] = set()
-        at, most = 0, self.longest
-        while at < len(word):
-            step = self._label_at(word, at, most)
-            if step is None:
-                dead.add(at)
-                if not path:
-                    raise ValueError("the vocabulary has no token for some byte")
-                path.pop()
-                end = ends.pop()
-                at = ends[-1] if ends else 0
-                most = end - at - 1
-                continue
-            token, end = step
-            if end not in dead and (not path or self.arc(path[-1], token)):
-                path.append(token)
-                ends.append(end)
-                at, most = end, self.longest
-            else:
-                most = end - at - 1
-        return tuple(path)
+        if len(self._states) > MEMO_WORDS:
+            self._forget()
+        table, ends, state, path = self._table, self._ends, 0, []
+        for byte in word:
+            next_ = table.get(state << 8 | byte)
+            state = self._reach(state, byte) if next_ is None else next_
+            path.append(ends[state])
+        out, at = [], len(word)
+        while at:
+            token = path[at - 1]
+            out.append(token)
+            at -= len(self.labels[token])
+        out.reverse()
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; strings of special tokens are ordinary text."""

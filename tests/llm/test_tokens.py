@@ -87,3 +87,10 @@ def test_pack(spark):
     assert P.pack(items.where("false"), windows).count() == 0 and P.pack(items, windows.where("false")).count() == 0
     grouped = P.pack(spark.range(500).selectExpr("id as doc_id", "cast(id % 9 as int) as n_tokens"), windows, group_items=50)
     assert grouped.where("window_name = 'w'").selectExpr("sum(n_tokens)").first()[0] == sum(i % 9 for i in range(500))
+
+
+def test_table_gives_every_label_its_own_id():
+    auto = T.automaton(T.VOCABULARY)
+    labels = sorted(auto.ids, key=auto.ids.get)[::37]
+    assert all(auto.word(x) == (auto.ids[x],) for x in labels)
+    assert len(auto._states) > len(labels) / 4 and set(auto._table.values()) <= set(range(len(auto._states)))
