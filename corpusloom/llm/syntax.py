@@ -8,10 +8,7 @@ merge-conflict lines, placeholders and premature ends are found where they break
 
 from __future__ import annotations
 
-import ast
 import re
-import tomllib
-import warnings
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -880,26 +877,6 @@ def _python(text: str) -> None:
         raise _Stop("premature end", end)
 
 
-def _python_confirmed(text: str) -> None:
-    """A module that looks broken counts only if the grammar rejects it too."""
-    try:
-        _python(text)
-    except _Stop as stop:
-        if not _accepted(ast.parse, text):
-            raise stop from None
-
-
-def _accepted(parse: Callable[[str], object], text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-    return True
-
-
-# ---------------------------------------------------------------- JSON and TOML
 _JSON_TOKEN = re.compile(r"""[ \t\r\n]+|(?P<q>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<v>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|(?:true|false|null)\b)|(?P<p>[{}\[\]:,])""", re.ASCII)
 
 
@@ -1004,21 +981,13 @@ def _toml_value(text: str, pos: int) -> int:
             return pos
 
 
-def _toml_confirmed(text: str) -> None:
-    try:
-        _toml(text)
-    except _Stop as stop:
-        if not _accepted(tomllib.loads, text):
-            raise stop from None
-
-
 CHECKS: dict[str, Callable[[str], None]] = {
-    "python": _python_confirmed,
+    "python": _python,
     "javascript": lambda text: _scripts(text, False),
     "typescript": lambda text: _scripts(text, True),
     "rust": _rust,
     "json": _json,
-    "toml": _toml_confirmed,
+    "toml": _toml,
 }
 
 

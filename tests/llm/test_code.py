@@ -1,3 +1,6 @@
+import ast
+import tomllib
+
 import pytest
 
 from corpusloom.llm import credentials as C
@@ -174,3 +177,14 @@ def test_copies_are_known_by_content(spark):
     libraries = spark.createDataFrame([("ekkozip",), (None,)], "lib_name string")
     got = {r.file: r.reason for r in H.reasons(spark.createDataFrame(rows, "repo string, file string, text string, language string"), libraries, "repo", "file").collect()}
     assert got == {"vendor/ekkozip/a.js": "third party", "src/b.js": "third party", "src/c.js": None}
+
+
+@pytest.mark.parametrize(("language", "parse"), [("python", ast.parse), ("toml", tomllib.loads)])
+def test_lexers_agree_with_the_standard_parsers(language, parse):
+    for text in VALID[language] + BROKEN[language]:
+        try:
+            parse(text)
+            valid = True
+        except (SyntaxError, ValueError):
+            valid = False
+        assert (S.problem(text, language) is None) == valid, text
