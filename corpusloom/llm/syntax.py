@@ -738,6 +738,38 @@ _PY_INFIX = frozenset("and or in is not if else for as import from async".split(
 _PY_BINARY = frozenset("= == != <= >= < > / % ^ | & // << >> += -= *= /= %= &= |= ^= @= **= //= <<= >>= := . -> :".split())
 
 
+def _format_end(text: str, at: int, quote: str) -> int:
+    """Where the format string whose text begins at `at` ends, behind its quote; -1 if a field of it does not close.
+
+    Fields may hold strings with the same quotes, and formats with fields of their own.
+    """
+    depth, end = 0, len(text)
+    while at < end:
+        ch = text[at]
+        if ch == "\\" and not depth:
+            at += text[at + 1 : at + 2] in ("\\", "'", '"', "\n")
+        elif not depth and text.startswith(quote, at):
+            return at + len(quote)
+        elif not depth and ch in "{}" and text[at : at + 2] == ch * 2:
+            at += 1
+        elif ch == "{":
+            depth += 1
+        elif ch == "}":
+            depth -= 1
+            if depth < 0:
+                return -1
+        elif depth and ch in "\"'":
+            inner = ch * 3 if text.startswith(ch * 3, at) else ch
+            at = _format_end(text, at + len(inner), inner) if text[at - 1] in "fF" else text.find(inner, at + len(inner)) + len(inner)
+            if at < len(inner):
+                return -1
+            continue
+        elif ch == "\n" and len(quote) == 1 and not depth:
+            return -1
+        at += 1
+    return -1
+
+
 def _python(text: str) -> None:
     """Raises where a Python module looks broken; it may be wrong, but misses little."""
     pos, end = 0, len(text)
@@ -824,8 +856,12 @@ def _python(text: str) -> None:
                     raise _Stop("bad prefix", at)
                 if state == OPERAND and last != "'" and not (last in ("match", "case") and first == last):
                     raise _Stop("misplaced literal", at)
-                if "f" in f and ("{" in t and re.search(r"\{\s*[}!:=]", t.replace("{{", "")) or "}" in t and t.replace("}}", "").replace("{{", "").count("{") != t.replace("}}", "").replace("{{", "").count("}")):
-                    raise _Stop("bad format string", at)
+                if "f" in f:
+                    begin = at + len(f)
+                    quote = text[begin] * (3 if text.startswith(text[begin] * 3, begin) else 1)
+                    pos = _format_end(text, begin + len(quote), quote)
+                    if pos < 0 or re.search(r"\{\s*[}!]", text[begin:pos].replace("{{", "")):
+                        raise _Stop("bad format string", at)
                 t = "'"
             state = OPERAND
         elif t in ("(", "[", "{"):
@@ -863,8 +899,17 @@ def _python(text: str) -> None:
                 raise _Stop("unknown character", at)
             if t == "..." and state == OPERAND:
                 raise _Stop("misplaced operator", at)
-            state = OP if t != "..." else OPERAND
+            bare = t == "*" and (last == "import" or last in ("(", ",") and re.match(r"\s*[,)]", text[pos : pos + 200]))  # import *, (a, *, b)
+            state = OPERAND if t == "..." or bare else OP
         elif t in _PY_BINARY:
+            if t == "/" and depth and last == "," and re.match(r"\s*[,)]", text[pos : pos + 200]):  # (a, /, b)
+                state, last = OPERAND, t
+                continue
+            if t == "." and first == "from" and re.match(r"[ \t]*import\b", text[pos : pos + 200]):  # from . import a
+                state, last = OPERAND, "from"
+                continue
+            if t == "=" and last == ",":  # a, = b
+                state = OPERAND
             if state in (START, OP) and not (t == "/" and depth and last == ",") and not (t == "." and first == "from"):
                 raise _Stop("misplaced operator", at)
             if t == "<" and text[pos : pos + 1] == ">":
