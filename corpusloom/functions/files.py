@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,7 +23,7 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r".(\.[^.]+)$", 1))
 
 
-def ignore_rule(path: Column, patterns: list[str] = rules.IGNORED) -> Column:
+def ignore_rule(path: Column, patterns: Sequence[str] = rules.IGNORED) -> Column:
     """The first pattern that a path below the repository matches; null if none does."""
     parts, name = F.split(path, "/"), file_name(path)
     tests = []
@@ -37,10 +38,10 @@ def ignore_rule(path: Column, patterns: list[str] = rules.IGNORED) -> Column:
             if p.startswith("."):
                 hit = hit | (suffix(path) == p)
         tests.append(F.when(hit, F.lit(p)))
-    return F.coalesce(*tests)
+    return F.coalesce(*tests, F.lit(None).cast("string"))
 
 
-def disposition(path: Column, content: Column, length: Column) -> Column:
+def disposition(path: Column, content: Column, length: Column, ignored: Sequence[str] = rules.IGNORED, binary: Sequence[str] = rules.BINARY_SUFFIXES, most_bytes: int = rules.MOST_BYTES) -> Column:
     """What becomes of a file: ignored, binary_suffix, large, empty, binary or text.
 
     Cheap tests come first. A file is binary if its first bytes hold a NUL or too many control
@@ -50,9 +51,9 @@ def disposition(path: Column, content: Column, length: Column) -> Column:
     control = F.length(F.regexp_replace(head, r"[^\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
     size = F.when(F.is_valid_utf8(F.substring(content, 1, rules.SNIFFED_BYTES).cast("string")), F.length(F.regexp_replace(head, r"[\x80-\xbf]", ""))).otherwise(F.length(head))
     return (
-        F.when(ignore_rule(path).isNotNull(), "ignored")
-        .when(suffix(path).isin(*rules.BINARY_SUFFIXES), "binary_suffix")
-        .when(length > rules.MOST_BYTES, "large")
+        F.when(ignore_rule(path, ignored).isNotNull(), "ignored")
+        .when(suffix(path).isin(*binary), "binary_suffix")
+        .when(length > most_bytes, "large")
         .when(content.isNull(), "unreadable")
         .when(length == 0, "empty")
         .when(head.rlike(r"\x00") | (control / F.greatest(size, F.lit(1)) > rules.MOST_CONTROL), "binary")

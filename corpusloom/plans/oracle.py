@@ -149,6 +149,11 @@ def oracle_sql() -> dict[str, str]:
         "languages_sorted": "select repo, string_agg(distinct language, ',' order by language) as languages from code_symbol group by repo",
         "type_pivot": f"""select repo, count(*) filter (symbol_type in ('function', 'async_function', 'arrow_function')) as functions, count(*) filter (symbol_type in ('class', 'interface')) as classes, count(*) filter (symbol_type = 'method') as methods, count(*) filter (symbol_type = 'struct') as structs,
             count(*) filter (symbol_type = 'enum') as enums, count(*) filter (symbol_type = 'trait') as traits, count(*) filter (symbol_type = 'chunk') as chunks from {symbols("repo", "chunk_id", "symbol_type")} group by repo""",
+        "type_counts": "select repo, symbol_type, count(distinct chunk_id) as n_symbols from code_symbol group by all",
+        "cleaning_counts": f"""select repo, count(*) as raw, count(*) filter (symbol_type = 'import') as imports_removed, count(*) filter (symbol_type = 'export') as exports_removed, count(*) filter (({_FLAG}) and not coalesce(exported, false)) as flipped,
+            count(*) filter (symbol_type is null or symbol_type not in ('import', 'export')) as total_symbols from {symbols("repo", "chunk_id", "symbol_name", "symbol_type", "exported", "exports")} group by repo""",
+        "registry_counts": """with s as (select repo as name, count(distinct chunk_id) as n from code_symbol group by all), f as (select repo as name, count(distinct file) as n from source_file group by all), i as (select repo as name, count(distinct symbol_id) as n from indexed_dataset group by all)
+            select name, coalesce(s.n, 0) as symbol_count, coalesce(f.n, 0) as file_count, coalesce(i.n, 0) as embedding_count from s full join f using (name) full join i using (name)""",
         "symbol_stats": f"""select repo, count(*) as total_symbols, count(parent_symbol) as with_parent, count(*) filter (embedding_candidate) as candidates, count(*) filter ({_FLAG}) as exported, count(*) filter (({_FLAG}) and not coalesce(exported, false)) as flipped, max((symbol_type = 'chunk')::int) as large_chunked
             from {symbols("repo", "chunk_id", "symbol_name", "symbol_type", "parent_symbol", "embedding_candidate", "exported", "exports")} group by repo""",
         "parse_failures": "select repo, language, count(*) as n_files, count(*) filter (failed) as n_failed from (select repo, file, language, coalesce(bool_or(metadata.ast_parse_failure), false) as failed from code_symbol group by all) group by repo, language",

@@ -228,6 +228,32 @@ def type_pivot(spark, d):
     return s.groupBy("repo").agg(of("function", "async_function", "arrow_function").alias("functions"), of("class", "interface").alias("classes"), of("method").alias("methods"), of("struct").alias("structs"), of("enum").alias("enums"), of("trait").alias("traits"), of("chunk").alias("chunks"))
 
 
+@query
+def type_counts(spark, d):
+    """Symbols of each type in each repository."""
+    return _symbols(spark, d, "repo", "chunk_id", "symbol_type").groupBy("repo", "symbol_type").agg(F.count("*").alias("n_symbols"))
+
+
+@query
+def cleaning_counts(spark, d):
+    """What is found in each repository, what is left out of it as import or export, what only the export list exports, what stays."""
+    s = members.with_export_flag(_symbols(spark, d, "repo", "chunk_id", "symbol_name", "symbol_type", "exported", "exports"))
+    of = lambda t: F.count_if(F.col("symbol_type") == t)
+    counts = s.groupBy("repo").agg(F.count("*").alias("raw"), of("import").alias("imports_removed"), of("export").alias("exports_removed"), F.count_if(F.col("is_exported") & ~F.coalesce("exported", F.lit(False))).alias("flipped"))
+    return counts.withColumn("total_symbols", F.col("raw") - F.col("imports_removed") - F.col("exports_removed"))
+
+
+@query
+def registry_counts(spark, d):
+    """Counts of symbols, files and indexed symbols of every repository that has any of them."""
+    parts = [
+        table(spark, d, name, F.col("repo").alias("name"), F.lit(to).alias("kind"), F.col(id_).alias("id"))
+        for name, id_, to in (("code_symbol", "chunk_id", "symbol_count"), ("source_file", "file", "file_count"), ("indexed_dataset", "symbol_id", "embedding_count"))
+    ]
+    once = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("id is not null").distinct()
+    return once.groupBy("name").agg(*[F.count_if(F.col("kind") == c).alias(c) for c in ("symbol_count", "file_count", "embedding_count")])
+
+
 @query
 def symbol_stats(spark, d):
     """Totals per repository: symbols, parents, candidates, exports, chunks."""

@@ -1,8 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions import files as ff
 from corpusloom.plans import ingest as plans
+from corpusloom.schema import SYMBOL
+from corpusloom.settings import Settings
+from corpusloom.sources.tables import json_rows, write_json
 from corpusloom.sources.tree import readable, scan
 from corpusloom.streaming.ingest import follow, latest
 
@@ -69,3 +73,58 @@ def test_scan_and_follow(spark, tree, tmp_path):
     (tree / "src/more.py").write_text("def g():\n    return 1\n")
     follow(spark, str(tree), "demo", out, mark).awaitTermination()
     assert latest(spark, out).count() == first + 1
+
+
+def test_scan_drops_by_path_before_reading(spark, tmp_path):
+    for name in ("a b+c%20d.py", "node_modules/x.py", "out/symbols/y.py", "data/out/z.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    found = scan(spark, str(tmp_path), "demo", own=(str(tmp_path / "out"),))
+    assert {r.file for r in found.collect()} == {"a b+c%20d.py", "data/out/z.py"}
+    assert found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value() == 2
+    assert scan(spark, str(tmp_path), "demo", Settings(ignored=())).count() == 4
+
+
+def test_settings(tmp_path):
+    file = tmp_path / "s.json"
+    file.write_text('{"ignored_directories": ["b", "a", "b"], "max_file_size_mb": 2}')
+    assert Settings.load(str(file)) == Settings(ignored=("b", "a"), most_bytes=2 * 2**20)
+    for bad in ("{", "[]", '{"ignored_directories": "a"}', '{"max_file_size_mb": null}'):
+        file.write_text(bad)
+        assert Settings.load(str(file)) == Settings()
+    assert Settings.load(None) == Settings.load(str(tmp_path / "missing")) == Settings()
+
+
+def test_register_index_delete(spark, tree, tmp_path):
+    out = str(tmp_path / "out")
+    assert plans.registered(spark, out).isEmpty()
+    plans.delete(spark, out, "a/b c")
+    for repo in ("a/b c", "demo"):
+        plans.register(spark, out, repo, "https://h/x")
+        plans.register(spark, out, repo, "https://h/x")  # not indexed yet
+        plans.ingest(spark, str(tree), repo, out)
+        plans.index(spark, out, repo=repo)
+        plans.finish(spark, out, repo)
+    rows = {r.name: r for r in plans.registered(spark, out).collect()}
+    n = spark.read.parquet(f"{out}/symbols").where("repo = 'demo'").count()
+    assert set(rows) == {"a/b c", "demo"} and rows["demo"].symbol_count == n and rows["demo"].file_count == 3 and rows["demo"].url == "https://h/x"
+    assert sum(rows["demo"].language_breakdown.values()) == n and rows["demo"].embedding_count == spark.read.parquet(f"{out}/index").where("repo = 'demo'").count()
+    with pytest.raises(ValueError):
+        plans.register(spark, out, "demo")
+    plans.delete(spark, out, "a/b c")
+    assert [r.name for r in plans.registered(spark, out).collect()] == ["demo"] and spark.read.parquet(f"{out}/index").where("repo <> 'demo'").isEmpty()
+    with pytest.raises(LookupError):
+        plans.ask(spark, out, spark.createDataFrame([("x",)], "question string"), repo="a/b c")
+    plans.register(spark, out, "demo", force=True)
+    assert spark.read.schema("repo string").parquet(f"{out}/symbols").isEmpty()
+
+
+def test_json_arrays(spark, tmp_path):
+    file = tmp_path / "a.json"
+    file.write_text('[{"repo": "r", "start_line": 3, "other": 1}, {"repo": null}]')
+    rows = json_rows(spark, str(file), StructType([SYMBOL["repo"], SYMBOL["start_line"]]))
+    assert [tuple(r) for r in rows.collect()] == [("r", 3), (None, None)]
+    write_json(rows, str(tmp_path / "lines"))
+    assert spark.read.schema(rows.schema).json(str(tmp_path / "lines")).count() == 2
+    file.write_text("[]")
+    assert json_rows(spark, str(file), SYMBOL).isEmpty()
