@@ -31,7 +31,7 @@ PIVOTS = 32
 #: Nodes that are compared in one task; cells of more are cut into parts, by the other of their nodes' two pivots as far as that goes.
 PART = 16_384
 #: Random trees in a part of a cell, and nodes of a leaf.
-TREES, LEAF = 4, 64
+TREES, LEAF = 4, 256
 #: Neighbours kept in the graph beyond k, and new and old neighbours of a node that meet in a round.
 SPARE, MEET = 6, 14
 #: Decimals to which directions are told apart; vectors that agree have similarity 1 to nine decimals.
@@ -226,18 +226,20 @@ class NeighbourGraph:
             node, own = cell["node"].to_numpy(), cell["own"].to_numpy()
             vectors = _unpacked(cell["vec"], size)
             single, n = _unit(vectors, np.float32), len(node)
-            keys = []
+            keys, sims = [np.empty(0, np.int64)], [np.empty(0, np.float32)]
             for tree in range(TREES):
                 for at, _ in _leaves(single, LEAF, np.random.default_rng([tree, n])):
-                    i, j = np.triu_indices(len(at), 1)
-                    keys.append(np.minimum(at[i], at[j]) * n + np.maximum(at[i], at[j]))
-            keys = np.unique(np.concatenate(keys))
-            u, v = keys // n, keys % n
-            sim = np.concatenate([np.einsum("ij,ij->i", single[u[i : i + 4096]], single[v[i : i + 4096]]) for i in range(0, max(1, len(u)), 4096)])
-            u, v, sim = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([sim, sim])
+                    met = single[at] @ single[at].T
+                    np.fill_diagonal(met, -2)
+                    near = np.argpartition(-met, min(keep + 2, len(at)) - 1, axis=1)[:, : keep + 2]  # single precision
+                    keys.append((at[:, None] * n + at[near]).ravel())
+                    sims.append(np.take_along_axis(met, near, 1).ravel())
+            keys, first = np.unique(np.concatenate(keys), return_index=True)
+            sim, u, v = np.concatenate(sims)[first], keys // max(1, n), keys % max(1, n)
             order = np.lexsort((-sim, u))
+            order = order[u[order] != v[order]]
             u, v = u[order], v[order]
-            near = np.arange(len(u)) - np.searchsorted(u, u) < keep + 2  # single precision
+            near = np.arange(len(u)) - np.searchsorted(u, u) < keep + 2
             u, v = u[near], v[near]
             return _links(node, own, u, v, _similarities(vectors, u, v))
 
