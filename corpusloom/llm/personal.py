@@ -246,6 +246,7 @@ def _cue(after: str, lead: str = r"\s") -> re.Pattern:
 _TO = _cue(rf"\s(?:for|who|and|until|by|since|on|if)\b|{_STOP}")
 _BY = _cue(rf"\s(?:on|and|in|at)\b|\s*[<(]|{_STOP}")
 _MAIL = _cue(rf"\s*[<(]|\n|$|{_STOP}", r"\s*")
+_ASK = _cue(rf"\s(?:about|to|for|if|whether|when|and|from|of|on|zu|wegen|ob|und|von|pour|de|si|et|por|para|sobre|y)\b|\s*[<(]|\n|$|{_STOP}")
 _GREET = _cue(r"\s?[,!:—–]|\s-")
 _CLOSE = re.compile(rf"(?P<comma>,)?!?\s+(?P<name>{_NAME_WORD}(?:[ ]{_NAME_WORD}){{0,3}}?)(?=(?P<end>[.!]?[ \t]*(?:\n|$))|\s|[.!,;]|$)")
 #: What stands before a name, by how the name goes on (fixed words).
@@ -253,6 +254,7 @@ _CUES: list[tuple[str, str, re.Pattern]] = [
     *(("to", w, _TO) for w in ("hanks to", "hank you", "udos to", "redits to", "redit to", "ssigned to", "anded over to")),
     *(("by", w, _BY) for w in ("eviewed by", "pproved by", "eported by", "ritten by", "ixed by", "ound by", "potted by", "ignalé par", "elu par", "alidé par", "apporté par", "Écrit par", "evisado por", "scrito por", "eportado por", "Avisó", "avisó")),
     *(("with", w, _cue(rf"\s(?:on|about|to|for)\b|{_STOP}")) for w in ("aired with", "poke with", "alked with", "Met with")),
+    *(("ask", w, _ASK) for w in ("y name is", "lease ask", "lease contact", "lease email", "ein Name ist", "ch heiße", "itte fragen Sie", "itte frag", "e m'appelle", "e m’appelle", "emandez à", "e llamo", "i nombre es", "regunta a", "regunte a")),
     *(("as", w, _cue(r"\s(?:said|noted|wrote|mentioned|explained|put\sit|pointed\sout)\b")) for w in ("As", "as")),
     ("escalation", "scalation", re.compile(rf"\s(?:for\s\w+)?:?\s?{_TITLE}{_NAME}(?=,?\s[+(\d])")),
     *(("mail", w, _MAIL) for w in ("Signed-off-by:", "Co-authored-by:", "Reported-by:", "Reviewed-by:", "Acked-by:", "Tested-by:", "Suggested-by:", "Helped-by:", "Author:", "From:")),
@@ -329,6 +331,8 @@ def _sound(how: str, name: str) -> bool:
         return len(upper) == len(words) <= 4
     if how == "close":
         return words[0][:1].isupper() and len(words[0]) > 1
+    if how == "ask":
+        return len(upper) == len(words) > 1
     if not upper:
         return 2 <= len(words) <= 4 and _uncommon(words)
     if not words[0][:1].isupper():

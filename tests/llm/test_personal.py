@@ -15,6 +15,17 @@ NOTHING = [
     "timestamp 1355737629 falls", "Bound to 10.0.0.7:1732 and 192.0.2.98.", "uuid 7fda560e-1b9b-4ab5-9bbb-b2c266957828", "step 12 row Lane detection, depot Street view", "Hi team, could you", "Thanks to the new cache for it", "@ada_lark reacted", "2025-04-12 08:57:38 DEBUG x took 40ms", "Amount 1 282 606 016 bytes", "", "version 0.50.4828-rc6 is out", "Set email_format = \"user@domain\"",
 ]
 
+INTRODUCED = {
+    "My name is Anna Kowalski and I maintain it.": "Anna Kowalski", "Please ask Peter Müller about it": "Peter Müller", "Ich heiße Jonas Weber.": "Jonas Weber", "je m'appelle Claire Dubois": "Claire Dubois", "Me llamo Luis Ortega, y": "Luis Ortega",
+    "Please ask Support about it": None, "My name is in the file": None, "please contact the maintainers for it": None, "Please ask on the list": None,
+}
+
+
+@pytest.mark.parametrize(("text", "want"), INTRODUCED.items())
+def test_introduced(text, want):
+    got = P.personal(text)
+    assert [x.kind for x in got] == ["person"] * (want is not None) and all(text[x.start : x.end] == want for x in got)
+
 
 @pytest.mark.parametrize(("text", "want"), FOUND)
 def test_found(text, want):
