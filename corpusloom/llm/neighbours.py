@@ -1,11 +1,13 @@
 """The k most similar vectors of every vector, by NN-descent, and greedy search in the graph.
 
-The descent starts from a forest of random trees: vectors go to the cells of their two nearest
-pivots, and within a cell those that share a small leaf of some tree are linked. Then come rounds
-of joins: every vector's neighbours, in either direction, are compared with each other, as far as
-one of the two links is new; whoever is nearer than a known neighbour takes its place. The rounds
-end when hardly any list changes. Cells only say where a comparison is made: each vector is sent
-once to every cell whose members have it as a neighbour.
+The descent starts from cells: vectors go to the cells of their nearest pivots, and the nearest
+within a cell are linked. Pivots grow with the root of the table, so that a start costs and finds
+about as much of a large graph as of a small one. Then come rounds of joins: every vector's
+neighbours, in either direction, are compared with each other, as far as one of the two links is
+new; whoever is nearer than a known neighbour takes its place. The rounds end when hardly any list
+changes. Cells only say where a comparison is made: a list is compared in
+the cell where most of its members are at home, and each vector is sent once to every cell that
+has it in a list.
 
 Nodes are directions: vectors that differ in length only, or are equal, are one node, so that
 copies cost no comparisons. Nodes are numbered in the order of their smallest ids, so that ties
@@ -26,12 +28,16 @@ from pyspark.sql.window import Window as W
 
 from corpusloom.sources.stage import discard, materialise
 
-#: Pivots, a random sample of the nodes; they and a row for each two of them are all that is broadcast, whatever the table's size.
-PIVOTS = 32
-#: Nodes that are compared in one task; cells of more are cut into parts, by the other of their nodes' two pivots as far as that goes.
+#: Pivots, a random sample of the nodes: so many times the root of the nodes' number, but no more than one for so many nodes.
+PIVOTS, CELL = 2, 64
+#: Nearest pivots to whose cells a node goes.
+PLACES = 3
+#: Nodes that are compared in one task; cells of more are cut into parts, by another of their nodes' pivots as far as that goes.
 PART = 16_384
-#: Random trees in a part of a cell, and nodes of a leaf.
+#: Random trees by which a search enters a part of a cell, and nodes of a leaf.
 TREES, LEAF = 4, 256
+#: Similarities held at once.
+BLOCK = 1 << 22
 #: Neighbours kept in the graph beyond k, and new and old neighbours of a node that meet in a round.
 SPARE, MEET = 6, 14
 #: Decimals to which directions are told apart; vectors that agree have similarity 1 to nine decimals.
@@ -101,10 +107,13 @@ def _vectors(df: DataFrame, id_: str, vector: str, size: int, most: int | None =
 
 def _nearest(m: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
     """Numbers of the n nearest pivots of each row, nearest first."""
-    sims = _unit(m, np.float32) @ pivots.T
-    n = min(n, len(pivots))
-    best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-    return np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable"), 1)
+    n, step = min(n, len(pivots)), max(1, BLOCK // len(pivots))
+    out = [np.empty((0, n), np.int64)]
+    for low in range(0, len(m), step):
+        sims = _unit(m[low : low + step], np.float32) @ pivots.T
+        best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+        out.append(np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out)
 
 
 def _leaves(m: np.ndarray, leaf: int, rng: np.random.Generator, led: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,7 +163,7 @@ class NeighbourGraph:
     neighbours; an empty table gives none.
     """
 
-    def __init__(self, df: DataFrame, id_: str = "symbol_id", vector: str = "embedding", size: int = 384, k: int = 10, rounds: int = 4, enough: float = 0.001, pivots: int = PIVOTS):
+    def __init__(self, df: DataFrame, id_: str = "symbol_id", vector: str = "embedding", size: int = 384, k: int = 10, rounds: int = 4, enough: float = 0.0002, pivots: int | None = None):
         self.source, self.id, self.vector, self.size, self.k = df, id_, vector, size, k
         self.keep = k + SPARE
         self.changed: list[float] = []
@@ -174,10 +183,10 @@ class NeighbourGraph:
         self.members = materialise(named.join(self.numbers, "hash").select("node", "number", "id"), "knn-members")
         discard(named)
 
-    def _place(self, pivots: int) -> None:
-        """Every node with its vector and its two nearest pivots."""
+    def _place(self, pivots: int | None) -> None:
+        """Every node with its vector and its nearest pivots."""
         size = self.size
-        wanted = pivots
+        wanted = pivots or max(1, math.ceil(min(PIVOTS * math.sqrt(self.n), self.n / CELL)))
         share = min(1 << 30, math.ceil((wanted + 4 * math.sqrt(wanted)) / max(1, self.n) * (1 << 30)))
         rows = _vectors(self.source, self.id, self.vector, size, share).groupBy("hash").agg(F.first("vec").alias("vec")).orderBy("hash").limit(wanted).collect()
         if not rows:  # a table of few vectors
@@ -188,19 +197,26 @@ class NeighbourGraph:
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    two = _nearest(_unpacked(batch.column(1), size), shared.value, 2)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(two[:, 0].astype(np.int32)), pa.array(two[:, -1].astype(np.int32)), batch.column(1)], names=["node", "home", "second", "vec"])
+                    near = _nearest(_unpacked(batch.column(1), size), shared.value, PLACES).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.tolist(), pa.list_(pa.int32())), batch.column(1)], names=["node", "near", "vec"])
 
         once = _vectors(self.source, self.id, self.vector, size).join(self.numbers, "hash").dropDuplicates(["hash"]).select("node", "vec")
-        self.nodes = materialise(once.mapInArrow(place, "node long, home int, second int, vec binary"), "knn-nodes", bucket="node")
-        counts = self.nodes.groupBy("home", "second").agg(F.count("*").alias("n")).collect()  # a row for two pivots at most
-        self.parts = self._cut([(r.home, r.second, r.n) for r in counts] + [(r.second, r.home, r.n) for r in counts])
+        self.nodes = materialise(once.mapInArrow(place, "node long, near array<int>, vec binary"), "knn-nodes", bucket="node")
+        cells = self._cells(self.nodes)
+        large = [r.pivot for r in cells.groupBy("pivot").count().where(F.col("count") > PART).collect()]
+        counts = cells.where(F.col("pivot").isin(large)).groupBy("pivot", "other").agg(F.count("*").alias("n")).collect() if large else []
+        self.parts = self._cut([(r.pivot, r.other, r.n) for r in counts])
+        self.whole = not large
+
+    def _cells(self, nodes: DataFrame, *columns: str) -> DataFrame:
+        """(node, pivot, other) and `columns`: the cells of each of the nodes, and the nearest of its other pivots."""
+        first, second = F.col("near")[0], F.coalesce(F.get("near", F.lit(1)), F.col("near")[0])
+        return nodes.select("node", "near", *columns, F.explode("near").alias("pivot")).select("node", "pivot", F.when(F.col("pivot") == first, second).otherwise(first).alias("other"), *columns)
 
     def _cut(self, counts: list[tuple[int, int, int]]) -> DataFrame:
-        """(pivot, other, first, n): of the nodes near two pivots, the parts of the pivot's cell to which they belong."""
+        """(pivot, other, first, n): the parts of a large cell to which its nodes that are near another pivot belong."""
         rows, at, last, room = [], -1, -1, 0
-        for pivot, other in sorted({(p, o) for p, o, _ in counts}):
-            n = sum(x for p, o, x in counts if (p, o) == (pivot, other))
+        for pivot, other, n in sorted(counts):
             if pivot != last or n > room:
                 at, last, room = 0 if pivot != last else at + 1, pivot, PART
             several = math.ceil(n / PART)
@@ -208,42 +224,38 @@ class NeighbourGraph:
             at, room = at + several - 1, room - n if several == 1 else 0
         return self.source.sparkSession.createDataFrame(rows, "pivot int, other int, first long, n int")
 
+    def _part(self, cells: DataFrame, name: str) -> DataFrame:
+        """`cells` with the part to which the node belongs, in place of pivot and other."""
+        whole = F.col("pivot").cast("long") * 2**24
+        if self.whole:
+            return cells.withColumn(name, whole).drop("pivot", "other")
+        part = F.col("first") + F.pmod(F.xxhash64("node", "pivot"), F.col("n"))
+        return cells.join(F.broadcast(self.parts), ["pivot", "other"], "left").withColumn(name, F.coalesce(part, whole)).drop("pivot", "other", "first", "n")
+
     def _placed(self, *columns: str) -> DataFrame:
-        """The nodes with the part `own` of their nearest pivot's cell, and the part `next` of the second's."""
-        out = self.nodes.select("node", "home", "second", *columns)
-        for pivot, other, name in (("home", "second", "own"), ("second", "home", "next")):
-            cut = F.broadcast(self.parts.toDF(pivot, other, "first", "n"))
-            part = (F.col("first") + F.pmod(F.xxhash64("node", pivot), F.col("n"))).alias(name)
-            out = out.join(cut, [pivot, other]).select("node", "home", "second", *columns, *(["own"] if name == "next" else []), part)
-        return out
+        """The nodes with the part `own` of their nearest pivot's cell."""
+        first = F.col("near")[0]
+        return self._part(self.nodes.select("node", first.alias("pivot"), F.coalesce(F.get("near", F.lit(1)), first).alias("other"), *columns), "own")
 
     def _start(self) -> DataFrame:
-        """Links nodes that share a leaf of a random tree in one of their two cells."""
+        """Links every node to the nearest in each of its cells."""
         size, keep = self.size, self.keep
-        placed = self._placed("vec").select(F.explode(F.array_distinct(F.array("own", "next"))).alias("cell"), "node", "own", "vec")
+        places = self._part(self._cells(self._placed("near", "vec"), "own", "vec"), "cell")
 
         def compare(cell: pa.Table) -> pa.Table:
             node, own = cell["node"].to_numpy(), cell["own"].to_numpy()
             vectors = _unpacked(cell["vec"], size)
             single, n = _unit(vectors, np.float32), len(node)
-            keys, sims = [np.empty(0, np.int64)], [np.empty(0, np.float32)]
-            for tree in range(TREES):
-                for at, _ in _leaves(single, LEAF, np.random.default_rng([tree, n])):
-                    met = single[at] @ single[at].T
-                    np.fill_diagonal(met, -2)
-                    near = np.argpartition(-met, min(keep + 2, len(at)) - 1, axis=1)[:, : keep + 2]  # single precision
-                    keys.append((at[:, None] * n + at[near]).ravel())
-                    sims.append(np.take_along_axis(met, near, 1).ravel())
-            keys, first = np.unique(np.concatenate(keys), return_index=True)
-            sim, u, v = np.concatenate(sims)[first], keys // max(1, n), keys % max(1, n)
-            order = np.lexsort((-sim, u))
-            order = order[u[order] != v[order]]
-            u, v = u[order], v[order]
-            near = np.arange(len(u)) - np.searchsorted(u, u) < keep + 2
-            u, v = u[near], v[near]
+            most, step, v = min(keep + 2, n), max(1, BLOCK // max(1, n)), [np.empty(0, np.int64)]
+            for low in range(0, n, step):
+                met = single[low : low + step] @ single.T  # single precision
+                met[np.arange(len(met)), np.arange(low, low + len(met))] = -2
+                v.append(np.argpartition(-met, most - 1, axis=1)[:, :most].ravel())
+            u, v = np.repeat(np.arange(n), most), np.concatenate(v)
+            u, v = u[u != v], v[u != v]
             return _links(node, own, u, v, _similarities(vectors, u, v))
 
-        return materialise(self._top(placed.groupBy("cell").applyInArrow(compare, _LINK).withColumn("fresh", F.lit(True))), "knn-graph")
+        return materialise(self._top(places.groupBy("cell").applyInArrow(compare, _LINK).withColumn("fresh", F.lit(True))), "knn-graph")
 
     def _top(self, links: DataFrame) -> DataFrame:
         """The best neighbours of each node; a link that was known already stays known."""
@@ -252,19 +264,19 @@ class NeighbourGraph:
         return once.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= self.keep).select(*[x.split()[0] for x in _LINK.split(", ")], "fresh")
 
     def _both_ways(self, *columns: str) -> DataFrame:
-        """(m, m_cell, x) and `columns`: the graph's links and, of those that lead to m, as many at most as meet in a round."""
+        """(m, x, x_cell) and `columns`: the graph's links and, of those that lead to m, as many at most as meet in a round."""
         g = self.graph
         some = W.partitionBy("v").orderBy(F.col("fresh").desc(), F.xxhash64("u", "v"))
         back = g.withColumn("nth", F.row_number().over(some)).where(F.col("nth") <= 2 * MEET)
-        ahead = g.select(F.col("u").alias("m"), F.col("u_cell").alias("m_cell"), F.col("v").alias("x"), *columns)
-        return ahead.unionByName(back.select(F.col("v").alias("m"), F.col("v_cell").alias("m_cell"), F.col("u").alias("x"), *columns))
+        ahead = g.select(F.col("u").alias("m"), F.col("v").alias("x"), F.col("v_cell").alias("x_cell"), *columns)
+        return ahead.unionByName(back.select(F.col("v").alias("m"), F.col("u").alias("x"), F.col("u_cell").alias("x_cell"), *columns))
 
     def _refine(self) -> bool:
         """One round over the neighbours of neighbours; False if nothing was left to compare."""
         size, g = self.size, self.graph
-        once = self._both_ways("fresh").repartition("m").groupBy("m", "x").agg(F.first("m_cell").alias("m_cell"), F.max("fresh").alias("fresh"))
+        once = self._both_ways("fresh").repartition("m").groupBy("m", "x").agg(F.first("x_cell").alias("x_cell"), F.max("fresh").alias("fresh"))
         drawn = once.withColumn("nth", F.row_number().over(W.partitionBy("m", "fresh").orderBy(F.xxhash64("x", "m")))).where(F.col("nth") <= MEET)
-        lists = drawn.groupBy("m").agg(F.first("m_cell").alias("cell"), F.collect_list("x").alias("x"), F.collect_list("fresh").alias("fresh")).where(F.array_contains("fresh", True))
+        lists = drawn.groupBy("m").agg(F.mode("x_cell", True).alias("cell"), F.collect_list("x").alias("x"), F.collect_list("fresh").alias("fresh")).where(F.array_contains("fresh", True))
         lists = materialise(lists, "knn-lists")
         if lists.isEmpty():
             discard(lists)
@@ -392,10 +404,10 @@ class NeighbourGraph:
 
         kind = "q long, cell long, node long, sim double"
         asked = materialise(queries.where(F.col(self.id).isNotNull()).select(self.vector).mapInArrow(begin, "q long, qvec binary, homes array<int>").dropDuplicates(["q"]), "knn-asked")
-        ways = self._both_ways("v_cell", "u_cell").select("m", "x", F.when(F.col("m_cell") == F.col("u_cell"), F.col("v_cell")).otherwise(F.col("u_cell")).alias("cell"))
-        ways = materialise(ways.dropDuplicates(["m", "x"]), "knn-ways")
-        cells = self.parts.select(F.col("pivot").alias("home"), F.explode(F.expr("sequence(first, first + n - 1)")).alias("cell")).distinct()
-        asks = asked.select("q", "qvec", F.explode("homes").alias("home")).join(F.broadcast(cells), "home").select("cell", "q", "qvec")
+        ways = materialise(self._both_ways().withColumnRenamed("x_cell", "cell").dropDuplicates(["m", "x"]), "knn-ways")
+        cut = self.parts.select(F.col("pivot").alias("home"), F.explode(F.expr("sequence(first, first + n - 1)")).alias("cell")).distinct()
+        asks = asked.select("q", "qvec", F.explode("homes").alias("home")).join(F.broadcast(cut), "home", "left")
+        asks = asks.select(F.coalesce("cell", F.col("home").cast("long") * 2**24).alias("cell"), "q", "qvec")
         sent = self._placed("vec").select(F.col("own").alias("at"), "node", "vec")
         new = asks.groupBy("cell").cogroup(sent.groupBy("at")).applyInArrow(enter, kind)
         seen, best, old = [], None, []

@@ -212,3 +212,25 @@ def test_cells_are_cut_into_parts(spark, monkeypatch):
     assert len(got & nearest(ids, m, 10)) >= 0.9 * 6000
     found = graph.search(df.limit(40), k=1).collect()
     assert all(r.id == r.query_id for r in found) and len(found) == 40
+
+
+def test_lists_of_a_cluster_are_compared_in_one_cell(spark, monkeypatch):
+    """A round sends each vector to little more than one cell, though pivots cut through clusters."""
+    import corpusloom.llm.neighbours as N
+
+    sends, write = [], N.materialise
+
+    def spy(df, name, bucket=None):
+        out = write(df, name, bucket)
+        if name == "knn-lists":
+            sends.append(out.select("cell", F.explode("x").alias("x")).distinct().count())
+        return out
+
+    monkeypatch.setattr(N, "materialise", spy)
+    rng = np.random.default_rng(5)
+    m = (rng.normal(size=(75, 96)).repeat(40, axis=0) + 0.4 * rng.normal(size=(3_000, 96))).astype(np.float32)
+    ids = [f"s{i:04d}" for i in range(len(m))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m, strict=True)], "symbol_id string, embedding array<float>")
+    graph = NeighbourGraph(df, size=96, pivots=32)
+    got = {(r.id, r.neighbour) for r in graph.neighbours().collect()}
+    assert len(got & nearest(ids, m, 10)) >= 0.995 * 30_000 and sends[0] <= 1.7 * len(m)
