@@ -5,7 +5,7 @@ within a cell are linked. Pivots grow with the root of the table, so that a star
 about as much of a large graph as of a small one. Then come rounds of joins: every vector's
 neighbours, in either direction, are compared with each other, as far as one of the two links is
 new; whoever is nearer than a known neighbour takes its place. The rounds end when hardly any list
-changes. Cells only say where a comparison is made: a list is compared in
+changes, however many that takes. Cells only say where a comparison is made: a list is compared in
 the cell where most of its members are at home, and each vector is sent once to every cell that
 has it in a list.
 
@@ -163,14 +163,14 @@ class NeighbourGraph:
     neighbours; an empty table gives none.
     """
 
-    def __init__(self, df: DataFrame, id_: str = "symbol_id", vector: str = "embedding", size: int = 384, k: int = 10, rounds: int = 4, enough: float = 0.0002, pivots: int | None = None):
+    def __init__(self, df: DataFrame, id_: str = "symbol_id", vector: str = "embedding", size: int = 384, k: int = 10, rounds: int | None = None, enough: float = 0.0002, pivots: int | None = None):
         self.source, self.id, self.vector, self.size, self.k = df, id_, vector, size, k
         self.keep = k + SPARE
         self.changed: list[float] = []
         self._number()
         self._place(pivots)
         self.graph = self._start()
-        for _ in range(rounds):
+        while rounds is None or len(self.changed) < rounds:
             if not self._refine() or self.changed[-1] < enough:
                 break
 

@@ -234,3 +234,12 @@ def test_lists_of_a_cluster_are_compared_in_one_cell(spark, monkeypatch):
     graph = NeighbourGraph(df, size=96, pivots=32)
     got = {(r.id, r.neighbour) for r in graph.neighbours().collect()}
     assert len(got & nearest(ids, m, 10)) >= 0.995 * 30_000 and sends[0] <= 1.7 * len(m)
+
+
+def test_rounds_go_on_until_lists_settle(monkeypatch):
+    shares = [0.5, 0.3, 0.1, 0.05, 0.02, 0.005, 0.001, 0.0001, 0.0]
+    for name in ("_number", "_place", "_start"):
+        monkeypatch.setattr(NeighbourGraph, name, lambda *a: None)
+    monkeypatch.setattr(NeighbourGraph, "_refine", lambda self: self.changed.append(shares[len(self.changed)]) or True)
+    assert NeighbourGraph(None).changed == shares[:8]
+    assert NeighbourGraph(None, rounds=2).changed == shares[:2]
